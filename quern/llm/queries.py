@@ -50,3 +50,17 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.secrets import report, secret_spans
 
     return report(secret_spans(table(spark, sf_dir, "documents")))
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.mixing import mixture
+
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
