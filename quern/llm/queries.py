@@ -64,3 +64,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.mixing import mixture
 
     return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
