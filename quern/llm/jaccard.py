@@ -27,29 +27,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.components import components
-from quern.llm.shared import MIX, WordHashes, dealt, mixed, parts_of, stored, texts, words_of
+from quern.llm.shared import MIX, dealt, grouped, mixed, parts_of, release, stored, texts, words_by_text
 
 #: Shingles that the common order ranks by frequency; beyond so many they count as rare, which costs
 #: time only. And the local count in a batch from which a shingle is counted at all.
-FREQUENT, OFTEN = 1 << 17, 4
+FREQUENT, OFTEN = 1 << 18, 2
+#: Holders of a shingle in a batch beyond which it sends one row and not all.
+HOT = 8
 #: Members of a region that one task joins, and of the blocks of a larger one.
 LEAF = 512
 NULL_ID = -(1 << 63)
-
-_hashes = WordHashes()
-
-
-def shingle_set(text: str, width: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the runs of `width` words; of the whole text if it has fewer."""
-    words = words_of(text)
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = _hashes.of(words)
-    k = min(width, len(words))
-    x = np.full(len(h) - k + 1, k, np.uint64)
-    for j in range(k):
-        x = x * MIX + h[j : len(h) - k + 1 + j]
-    return np.unique(mixed(x))
+ROWS = 8192
+
+
+def shingle_sets(values: list[str], width: int = 5) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its runs of `width` words; of the whole text
+    if it has fewer."""
+    out = []
+    for i, j in grouped(values):
+        h, bounds = words_by_text(values[i:j])
+        runs = np.full(max(0, len(h) - width + 1), width, np.uint64)
+        for k in range(width):
+            runs = runs * MIX + h[k : len(h) - width + 1 + k]
+        runs = mixed(runs)
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if b - a >= width:
+                out.append(np.unique(runs[a : b - width + 1]))
+            else:
+                x = np.full(min(1, b - a), b - a, np.uint64)
+                for w in h[a:b]:
+                    x = x * MIX + w
+                out.append(mixed(x))
+    return out
 
 
 def digest(s: np.ndarray) -> int:
@@ -78,7 +87,7 @@ def frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(t, width) for t in batch.column("text").to_pylist()]
+            sets = shingle_sets(batch.column("text").to_pylist(), width)
             keys, n = np.unique(np.concatenate(sets or [np.zeros(0, np.uint64)]), return_counts=True)
             keys, n = keys[n >= OFTEN], n[n >= OFTEN]
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["k", "n"])
@@ -101,104 +110,142 @@ def prefix(s: np.ndarray, keys: np.ndarray, counts: np.ndarray, percent: int) ->
     return s[np.lexsort((s, weight))[:size]]
 
 
-BATCHES = "batch long, bucket int, keys binary, sizes binary, docs binary, firsts binary"
+def size_class(n: np.ndarray, percent: int) -> np.ndarray:
+    """Sets that link are in the same or in neighbouring classes."""
+    return (np.log(np.maximum(n, 1)) / np.log(100 / percent)).astype(np.uint64) & np.uint64(255)
+
+
+BATCHES = "batch long, bucket int, keys binary, low binary, sizes binary, docs binary, hot_keys binary, hot_sizes binary, hot_docs binary"
 
 
 def scanned(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
-    """For each batch: in bucket -1 its documents (keys: vertices, sizes: set sizes, docs: ids), and in
-    each other bucket its prefix shingles (keys), the numbers of holders (sizes), the holders (docs) and
-    the least holder of each (firsts)."""
-    keys, counts = frequent(docs, width)
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((keys, counts))  # FREQUENT entries at most
+    """For each batch of at most ROWS documents: in bucket -1 all of them (keys: vertices, sizes: set
+    sizes, docs: ids), and in each other bucket its prefix shingles with their holders' size class (48 and
+    8 bits, in keys and low), their numbers of holders (sizes) and the holders (docs, as places in the batch; of a hot shingle the
+    least alone, and all of them in the hot columns)."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, width))  # FREQUENT entries at most
+    names = [x.split()[0] for x in BATCHES.split(", ")]
+    types = [pa.int64(), pa.int32(), *[pa.binary()] * 7]
+
+    def rows_of(number: int, ids: list, values: list[str]):
+        sets = shingle_sets(values, width)
+        vertices = np.array([digest(s) for s in sets], np.int64)
+        sizes = np.array([len(s) for s in sets], np.int64)
+        yield (number, -1, vertices.tobytes(), b"", sizes.tobytes(), np.array([NULL_ID if i is None else i for i in ids], np.int64).tobytes(), b"", b"", b"")
+        _, one = np.unique(vertices, return_index=True)
+        one = one[sizes[one] > 0]
+        if not len(one):
+            return
+        cuts = [prefix(sets[i], *shared.value, percent) for i in one.tolist()]
+        flat, owner = np.concatenate(cuts) >> np.uint64(16) << np.uint64(8), np.repeat(one, [len(c) for c in cuts])
+        flat |= size_class(sizes, percent)[owner]
+        order = np.lexsort((mixed((np.uint64(number) << np.uint64(16)) + owner.astype(np.uint64)), flat))
+        flat, owner = flat[order], owner[order].astype("<u2")
+        starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+        ends = np.r_[starts, len(flat)]
+        held = np.diff(ends)
+        hot = held > HOT
+        for b, ks, at in dealt(flat[starts] << np.uint64(8), buckets, np.arange(len(starts))):
+            ks = ks >> np.uint64(8)
+            i, j = ends[at[0]], ends[at[-1] + 1]
+            h = hot[at]
+            each = np.repeat(h, held[at])
+            lead = np.isin(np.arange(i, j), starts[at])
+            yield (number, b, (ks >> np.uint64(24)).astype("<u4").tobytes(), (ks << np.uint64(8)).astype("<u4").tobytes(), held[at].astype("<u2").tobytes(), owner[i:j][~each | lead].tobytes(), ks[h].tobytes(), held[at][h].astype("<u2").tobytes(), owner[i:j][each].tobytes())
 
     def run(batches):
         from pyspark import TaskContext
 
-        high = TaskContext.get().partitionId() << 32
-        for k, batch in enumerate(batches):
-            ids = [NULL_ID if i is None else i for i in batch.column("doc_id").to_pylist()]
-            sets = [shingle_set(t, width) for t in batch.column("text").to_pylist()]
-            names = np.array([digest(s) for s in sets], np.int64)
-            sizes = np.array([len(s) for s in sets], np.int64)
-            out = [(high + k, -1, names.tobytes(), sizes.tobytes(), np.array(ids, np.int64).tobytes(), b"")]
-            _, one = np.unique(names, return_index=True)
-            one = [i for i in one.tolist() if sizes[i]]
-            cuts = [prefix(sets[i], *shared.value, percent) for i in one]
-            if cuts:
-                flat, owner = np.concatenate(cuts), np.repeat(names[one], [len(c) for c in cuts])
-                order = np.lexsort((mixed(owner.view(np.uint64)), flat))
-                flat, owner = flat[order], owner[order]
-                starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-                held, ends = np.diff(np.r_[starts, len(flat)]).astype(np.int32), np.r_[starts, len(flat)]
-                for b, ks, at in dealt(flat[starts], buckets, np.arange(len(starts))):
-                    i, j = ends[at[0]], ends[at[-1] + 1]
-                    out.append((high + k, b, ks.tobytes(), held[at].tobytes(), owner[i:j].tobytes(), owner[starts[at]].tobytes()))
-            types = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
-            for a in range(0, len(out), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[a : a + 256], strict=True), types, strict=True)], [x.split()[0] for x in BATCHES.split(", ")])
+        number, out = TaskContext.get().partitionId() << 20, []
+        for whole in batches:
+            for a in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(a, ROWS)
+                out += rows_of(number, batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())
+                number += 1
+                for k in range(0, len(out), 256):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 256], strict=True), types, strict=True)], names)
+                out = []
 
     return docs.mapInArrow(run, BATCHES)
 
 
 def pivots(batches: DataFrame) -> DataFrame:
-    """(batch, bucket, keys, pivots): for each batch those of its shingles that two sets hold anywhere."""
+    """Two kinds of rows. Without key: the set x of a batch falls to the pivot p; more: some shared shingle
+    has further holders. With key: p is a pivot of that hot shingle and size class of the batch x. Sets
+    are named by batch and place in it. A shingle has a region for each size class, of the sets of that
+    class and the one below, so that no two sets whose sizes rule out a link meet for nothing."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        parts = [(np.frombuffer(r.keys, np.uint64), np.frombuffer(r.sizes, np.int32), np.frombuffer(r.firsts, np.int64)) for r in rows.itertuples()]
-        keys, held, first = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        source = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-        order = np.lexsort((mixed(first.view(np.uint64)), keys))
-        keys, held, first, source = keys[order], held[order], first[order], source[order]
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        group = np.cumsum(np.r_[True, keys[1:] != keys[:-1]]) - 1
-        pivot = first[starts][group]
-        # A key matters if some batch has two holders of it or two batches have different ones.
-        many = np.maximum.reduceat(held > 1, starts) | np.maximum.reduceat(first != pivot, starts)
-        use = many[group]
-        by = np.argsort(source[use], kind="stable")
-        k, p, bounds = keys[use][by], pivot[use][by], np.searchsorted(source[use][by], np.arange(len(parts) + 1))
-        out = [(r.batch, r.bucket, k[a:b].tobytes(), p[a:b].tobytes()) for r, a, b in zip(rows.itertuples(), bounds[:-1], bounds[1:], strict=True) if a < b]
-        return pd.DataFrame(out, columns=["batch", "bucket", "keys", "pivots"])
-
-    return batches.where("bucket >= 0").select("batch", "bucket", "keys", "sizes", "firsts").groupBy("bucket").applyInPandas(run, "batch long, bucket int, keys binary, pivots binary")
-
-
-def members(batches: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(x, p): the sets of each pivot's region, without the pivot."""
-
-    def run(them):
+        parts = []
+        for r in rows.itertuples():
+            k = (np.frombuffer(r.keys, "<u4").astype(np.uint64) << np.uint64(24)) | (np.frombuffer(r.low, "<u4").astype(np.uint64) >> np.uint64(8))
+            held = np.frombuffer(r.sizes, "<u2").astype(np.int64)
+            each = np.where(held > HOT, 1, held)
+            parts.append((np.repeat(k, each), (np.int64(r.batch) << 16) + np.frombuffer(r.docs, "<u2"), np.repeat(held, each)))
+        own, name, held = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        # Shingles that one set alone holds, the great majority, go at once.
+        order = np.argsort(own, kind="stable")
+        own, name, held = own[order], name[order], held[order]
+        shingle = own >> np.uint64(8)
+        same = shingle[1:] == shingle[:-1]
+        use = np.r_[same, False] | np.r_[False, same] | (held > 1)
+        own, name, held = (np.tile(c[use], 2) for c in (own, name, held))
+        region = own.copy()
+        region[len(own) // 2 :] += np.uint64(1)
+        order = np.lexsort((mixed(name.view(np.uint64)), region))
+        own, name, held, region = own[order], name[order], held[order], region[order]
+        first = np.r_[True, region[1:] != region[:-1]][: len(region)]
+        starts, group = np.flatnonzero(first), np.cumsum(first) - 1
+        pivot = name[starts][group]
+        hot = held > HOT
+        count = np.add.reduceat(np.where(hot, held, 1), starts)[group] if len(starts) else held
+        pairs, at = np.unique(np.c_[name, pivot][~first], axis=0, return_inverse=True)
+        more = np.zeros(len(pairs), bool)
+        np.logical_or.at(more, at.ravel(), count[~first] > 2)
+        plain = pd.DataFrame({"x": pairs[:, 0], "p": pairs[:, 1], "key": pd.array([None] * len(pairs), "Int64"), "more": more})
+        lists = pd.DataFrame({"x": name[hot] >> 16, "p": pivot[hot], "key": pd.array(own[hot].astype(np.int64), "Int64"), "more": True})
+        return pd.concat([plain, lists], ignore_index=True) if len(lists) else plain
+
+    return batches.where("bucket >= 0").select("batch", "bucket", "keys", "low", "sizes", "docs").groupBy("bucket").applyInPandas(run, "x long, p long, key long, more boolean")
+
+
+def members(batches: DataFrame, known: DataFrame) -> DataFrame:
+    """(x, p, n, m, more): the vertices of each pivot's region, without the pivot, and the two set sizes."""
+
+    def hot(them):
         for t in them:
             out = []
-            for keys, sizes, docs, shared, pivot in zip(*(t.column(c).to_pylist() for c in ("keys", "sizes", "docs", "shared", "pivots")), strict=True):
-                keys, sizes, docs = np.frombuffer(keys, np.uint64), np.frombuffer(sizes, np.int32), np.frombuffer(docs, np.int64)
-                at = np.full(len(keys), -1)
-                at[np.searchsorted(keys, np.frombuffer(shared, np.uint64))] = np.arange(len(shared) // 8)
-                which = np.repeat(at, sizes)
-                got = np.c_[docs[which >= 0], np.frombuffer(pivot, np.int64)[which[which >= 0]]]
-                out.append(np.unique(got[got[:, 0] != got[:, 1]], axis=0))
-            both = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["x", "p"])
+            for number, keys, sizes, docs in zip(*(t.column(c).to_pylist() for c in ("batch", "hot_keys", "hot_sizes", "hot_docs")), strict=True):
+                sizes = np.frombuffer(sizes, "<u2")
+                out.append(np.c_[np.full(sizes.sum(), number), np.repeat(np.frombuffer(keys, np.int64), sizes), (number << 16) + np.frombuffer(docs, "<u2").astype(np.int64)])
+            both = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, i]) for i in range(3)], ["batch", "key", "h"])
 
-    own = batches.where("bucket >= 0").select("batch", "bucket", "keys", "sizes", "docs")
-    return own.join(chosen.withColumnRenamed("keys", "shared"), ["batch", "bucket"]).mapInArrow(run, "x long, p long").distinct()
+    chosen = stored(pivots(batches), "pivots")
+    lists = batches.where("bucket >= 0 and length(hot_keys) > 0").select("batch", "hot_keys", "hot_sizes", "hot_docs").mapInArrow(hot, "batch long, key long, h long")
+    told = chosen.where("key is not null").select(F.col("x").alias("batch"), "key", "p")
+    both = chosen.where("key is null").select("x", "p", "more").unionByName(lists.join(told, ["batch", "key"]).select(F.col("h").alias("x"), "p", F.lit(True).alias("more")))
+    both = both.where("x != p").groupBy("x", "p").agg(F.max("more").alias("more"))
+    named = both.join(known.select(F.col("h").alias("x"), F.col("v").alias("vx"), F.col("n_shingles").alias("n")), "x").join(known.select(F.col("h").alias("p"), F.col("v").alias("vp"), F.col("n_shingles").alias("m")), "p")
+    return named.where("vx != vp").groupBy(F.col("vx").alias("x"), F.col("vp").alias("p")).agg(F.max("n").alias("n"), F.max("m").alias("m"), F.max("more").alias("more"))
 
 
 def sets_of(docs: DataFrame, names: DataFrame, width: int) -> DataFrame:
-    """(v, s): the shingle set of each vertex of names, whose doc_id is one document that has it."""
+    """(v, s): the shingle set of each vertex of names, whose doc_id is one document that has it; twice
+    if that row is there twice, which does no harm."""
 
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(t, width) for t in batch.column("text").to_pylist()]
+            sets = shingle_sets(batch.column("text").to_pylist(), width)
             right = np.array([digest(s) for s in sets], np.int64) == np.array(batch.column("v").to_pylist(), np.int64)
             rows = np.flatnonzero(right)
             yield pa.RecordBatch.from_arrays([batch.column("v").take(pa.array(rows)), pa.array([sets[i].tobytes() for i in rows], pa.binary())], ["v", "s"])
 
-    return docs.join(names, "doc_id").select("v", "text").mapInArrow(run, "v long, s binary").dropDuplicates(["v"])
+    return docs.join(names, "doc_id").select("v", "text").mapInArrow(run, "v long, s binary")
 
 
 def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(x, p, d, near): the exact distance of each pair and whether it is a link."""
+    """(x, p, d, near, more): the exact distance of each pair and whether it is a link."""
 
     def run(batches):
         for b in batches:
@@ -208,10 +255,10 @@ def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 common = len(np.intersect1d(s, t, assume_unique=True))
                 d.append(distance(common, len(s), len(t)))
                 near.append(bool(linked(common, len(s), len(t), percent)))
-            yield pa.RecordBatch.from_arrays([b.column("x"), b.column("p"), pa.array(d, pa.float64()), pa.array(near, pa.bool_())], ["x", "p", "d", "near"])
+            yield pa.RecordBatch.from_arrays([b.column("x"), b.column("p"), pa.array(d, pa.float64()), pa.array(near, pa.bool_()), b.column("more")], ["x", "p", "d", "near", "more"])
 
     own = pairs.join(sets.select(F.col("v").alias("x"), "s"), "x").join(sets.select(F.col("v").alias("p"), F.col("s").alias("t")), "p")
-    return own.select("x", "p", "s", "t").mapInArrow(run, "x long, p long, d double, near boolean")
+    return own.select("x", "p", "s", "t", "more").mapInArrow(run, "x long, p long, d double, near boolean, more boolean")
 
 
 def joined_region(names: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -252,7 +299,9 @@ def joined_region(names: list[int], sets: list[np.ndarray], percent: int) -> lis
 def regions(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) among what the first pivots leave."""
     eps = 1 - percent / 100
-    rings = found.groupBy("p").agg(F.min(F.when(~F.col("near"), F.col("d"))).alias("least"), F.count("*").alias("n")).where("least is not null")
+    # A shingle that only a set and its pivot hold brings no third set to meet.
+    found = found.where("more")
+    rings = found.groupBy("p").agg(F.min(F.when(~F.col("near"), F.col("d"))).alias("least")).where("least is not null")
     rest = found.join(rings, "p").where(~F.col("near") | (F.col("d") >= F.col("least") - eps - 1e-9)).select("p", "x")
     rest = stored(rest, "rest")
     counts = rest.groupBy("p").count().where("count > 1").select("p", F.ceil(F.col("count") / F.lit(LEAF)).cast("int").alias("blocks"))
@@ -281,16 +330,22 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, id_col:
 
     def unpack(them):
         for t in them:
-            for v, n, i in zip(*(t.column(c).to_pylist() for c in ("keys", "sizes", "docs")), strict=True):
+            for number, v, n, i in zip(*(t.column(c).to_pylist() for c in ("batch", "keys", "sizes", "docs")), strict=True):
                 ids = np.frombuffer(i, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == NULL_ID), pa.array(np.frombuffer(v, np.int64)), pa.array(np.frombuffer(n, np.int64))], ["doc_id", "v", "n_shingles"])
-
-    known = batches.where("bucket = -1").select("keys", "sizes", "docs").mapInArrow(unpack, "doc_id long, v long, n_shingles long")
-    pairs = stored(members(batches, pivots(batches)), "pairs")
-    needs = pairs.select(F.col("x").alias("v")).unionByName(pairs.select(F.col("p").alias("v"))).distinct()
+                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == NULL_ID), pa.array((number << 16) + np.arange(len(ids))), pa.array(np.frombuffer(v, np.int64)), pa.array(np.frombuffer(n, np.int64))], ["doc_id", "h", "v", "n_shingles"])
+
+    known = stored(batches.where("bucket = -1").select("batch", "keys", "sizes", "docs").mapInArrow(unpack, "doc_id long, h long, v long, n_shingles long"), "vertices")
+    pairs = stored(members(batches, known), "pairs")
+    release(rows.sparkSession, batches)
+    # Sets of too different sizes are at least 1 - n / m apart, which is all that is needed of them.
+    could = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    apart = pairs.where(~could).select("x", "p", (1 - F.least("n", "m") / F.greatest("n", "m")).alias("d"), F.lit(False).alias("near"), "more")
+    needs = pairs.where(could | F.col("more")).select(F.explode(F.array("x", "p")).alias("v")).distinct()
     one = known.where("doc_id is not null").groupBy("v").agg(F.min("doc_id").alias("doc_id"))
     sets = stored(sets_of(rows, one.join(needs, "v", "left_semi"), width), "sets")
-    found = stored(measured(pairs, sets, percent), "distances")
+    release(rows.sparkSession)
+    found = stored(measured(pairs.where(could), sets, percent).unionByName(apart), "distances")
+    release(rows.sparkSession, pairs)
     links = found.where("near").select(F.col("x").alias("a"), F.col("p").alias("b")).unionByName(regions(found, sets, percent))
     labels = components(links)
     # The least id of each vertex, then of each component; vertices without links are their own.

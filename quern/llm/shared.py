@@ -34,6 +34,18 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more, and lets the shuffle files of past queries go."""
+    import gc
+
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text string), null texts empty; other columns never clash as they are left out."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -99,3 +111,46 @@ def dealt(keys: np.ndarray, buckets: int, *columns: np.ndarray):
     names = bucket_of(keys[starts], buckets)
     for b, i, j in zip(names.tolist(), starts.tolist(), ends.tolist(), strict=True):
         yield (b, keys[i:j], *(c[i:j] for c in columns))
+
+
+#: A fixed random 64-bit value for each byte, and the powers of MIX by a byte's place in its word.
+_BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * MIX2)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+_powers = np.cumprod(np.full(1 << 10, MIX), dtype=np.uint64)
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of data (between ASCII white space, A-Z lower-cased), and their starts."""
+    global _powers
+    raw = np.frombuffer(data, np.uint8)
+    inside = ~_SPACE[raw]
+    at = np.flatnonzero(inside)
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    first = np.flatnonzero(np.r_[True, np.diff(at) > 1])
+    sizes = np.diff(np.r_[first, len(at)])
+    while sizes.max() > len(_powers):
+        _powers = np.cumprod(np.full(2 * len(_powers), MIX), dtype=np.uint64)
+    place = np.arange(len(at)) - np.repeat(first, sizes)
+    values = _BYTES[_LOWER[raw[at]]] * _powers[place]
+    return mixed(np.add.reduceat(values, first) + sizes.astype(np.uint64)), at[first]
+
+
+def grouped(values: list[str], most: int = 1 << 20):
+    """(first, end) of runs of texts of about `most` characters, so that arrays over a run stay small."""
+    i = 0
+    while i < len(values):
+        j, n = i, 0
+        while j < len(values) and (j == i or n + len(values[j]) <= most):
+            n += len(values[j])
+            j += 1
+        yield i, j
+        i = j
+
+
+def words_by_text(values: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all the texts, one after another, and the bounds of each text's words."""
+    raws = [v.encode("utf-8", "surrogatepass") for v in values]
+    hashes, starts = word_hashes(b"\n".join(raws))
+    return hashes, np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raws)]))
