@@ -71,3 +71,10 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.jaccard import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.spans import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents"))
