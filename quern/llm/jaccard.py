@@ -31,7 +31,7 @@ from quern.llm.shared import MIX, dealt, grouped, mixed, parts_of, release, stor
 
 #: Shingles that the common order ranks by frequency; beyond so many they count as rare, which costs
 #: time only. And the local count in a batch from which a shingle is counted at all.
-FREQUENT, OFTEN = 1 << 18, 2
+FREQUENT, OFTEN = 1 << 17, 2
 #: Holders of a shingle in a batch beyond which it sends one row and not all.
 HOT = 8
 #: Members of a region that one task joins, and of the blocks of a larger one.
@@ -87,7 +87,7 @@ def frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches):
         for batch in batches:
-            sets = shingle_sets(batch.column("text").to_pylist(), width)
+            sets = shingle_sets(list(set(batch.column("text").to_pylist())), width)  # copies say nothing
             keys, n = np.unique(np.concatenate(sets or [np.zeros(0, np.uint64)]), return_counts=True)
             keys, n = keys[n >= OFTEN], n[n >= OFTEN]
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["k", "n"])
@@ -230,37 +230,61 @@ def members(batches: DataFrame, known: DataFrame) -> DataFrame:
     return named.where("vx != vp").groupBy(F.col("vx").alias("x"), F.col("vp").alias("p")).agg(F.max("n").alias("n"), F.max("m").alias("m"), F.max("more").alias("more"))
 
 
+def short(s: np.ndarray) -> np.ndarray:
+    """16 bits of each hash, sorted: their common elements, with repeats, are at least those of the sets."""
+    return np.sort(s.astype("<u2"))
+
+
+def told_apart(f: np.ndarray) -> np.ndarray:
+    """Distinct values for the elements of a sorted array with repeats: the value and its count so far."""
+    at = np.arange(len(f))
+    first = np.maximum.accumulate(np.where(np.r_[True, f[1:] != f[:-1]][: len(f)], at, 0))
+    return (f.astype(np.int64) << 32) + at - first
+
+
 def sets_of(docs: DataFrame, names: DataFrame, width: int) -> DataFrame:
-    """(v, s): the shingle set of each vertex of names, whose doc_id is one document that has it; twice
-    if that row is there twice, which does no harm."""
+    """(v, s, f): the shingle set of each vertex of names, whose doc_id is one document that has it, and
+    its short form; twice if that row is there twice, which does no harm."""
 
     def run(batches):
         for batch in batches:
             sets = shingle_sets(batch.column("text").to_pylist(), width)
             right = np.array([digest(s) for s in sets], np.int64) == np.array(batch.column("v").to_pylist(), np.int64)
             rows = np.flatnonzero(right)
-            yield pa.RecordBatch.from_arrays([batch.column("v").take(pa.array(rows)), pa.array([sets[i].tobytes() for i in rows], pa.binary())], ["v", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column("v").take(pa.array(rows)), pa.array([sets[i].tobytes() for i in rows], pa.binary()), pa.array([short(sets[i]).tobytes() for i in rows], pa.binary())], ["v", "s", "f"])
 
-    return docs.join(names, "doc_id").select("v", "text").mapInArrow(run, "v long, s binary")
+    return docs.join(names, "doc_id").select("v", "text").mapInArrow(run, "v long, s binary, f binary")
 
 
-def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(x, p, d, near, more): the exact distance of each pair and whether it is a link."""
+def compared(pairs: DataFrame, sets: DataFrame, column: str, percent: int) -> DataFrame:
+    """(x, p, d, near, more) for the pairs, by the sets (column s), which is exact, or by their short forms
+    (column f), which gives a lower bound of the distance."""
 
     def run(batches):
         for b in batches:
             d, near = [], []
             for s, t in zip(b.column("s").to_pylist(), b.column("t").to_pylist(), strict=True):
-                s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
+                if column == "s":
+                    s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
+                else:
+                    s, t = told_apart(np.frombuffer(s, "<u2")), told_apart(np.frombuffer(t, "<u2"))
                 common = len(np.intersect1d(s, t, assume_unique=True))
                 d.append(distance(common, len(s), len(t)))
                 near.append(bool(linked(common, len(s), len(t), percent)))
             yield pa.RecordBatch.from_arrays([b.column("x"), b.column("p"), pa.array(d, pa.float64()), pa.array(near, pa.bool_()), b.column("more")], ["x", "p", "d", "near", "more"])
 
-    own = pairs.join(sets.select(F.col("v").alias("x"), "s"), "x").join(sets.select(F.col("v").alias("p"), F.col("s").alias("t")), "p")
+    own = pairs.join(sets.select(F.col("v").alias("x"), F.col(column).alias("s")), "x").join(sets.select(F.col("v").alias("p"), F.col(column).alias("t")), "p")
     return own.select("x", "p", "s", "t", "more").mapInArrow(run, "x long, p long, d double, near boolean, more boolean")
 
 
+def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(x, p, d, near, more): whether each pair is a link; d is exact for links, else a lower bound, which
+    is all that the triangle inequality is used with."""
+    bounds = stored(compared(pairs, sets, "f", percent), "bounds")
+    release(pairs.sparkSession)
+    return compared(bounds.where("near"), sets, "s", percent).unionByName(bounds.where("not near"))
+
+
 def joined_region(names: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that connect what the links of the region connect, by recursive pivots.
 
