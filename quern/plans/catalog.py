@@ -2,5 +2,375 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quern.functions import text as X
+from quern.operators import facts, graph, render
+from quern.operators import search as S
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+NODES_SQL = "nodes AS (" + " UNION ALL ".join(f"SELECT '{k}:' || {c} AS node_id, '{k}' AS kind, {n} AS name FROM {t}" for k, t, c, n in facts.NODES) + ")"
+EDGES_SQL = """edges AS (
+SELECT 'nation:' || n_nationkey AS source_id, 'region:' || n_regionkey AS target_id, 'CONTAINS' AS kind, 4 AS verification FROM nation
+UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, 'REFERENCES', 4 FROM customer
+UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'REFERENCES', 4 FROM supplier
+UNION ALL SELECT 'order:' || o_orderkey, 'customer:' || o_custkey, 'CALLS', 4 FROM orders
+UNION ALL (SELECT DISTINCT 'order:' || l_orderkey, 'supplier:' || l_suppkey, 'CALLS', 3 FROM lineitem)
+UNION ALL (SELECT DISTINCT 'order:' || l_orderkey, 'part:' || l_partkey, 'CALLS', 2 FROM lineitem))"""
+TIER_SQL = "CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'signup' THEN 3 WHEN 'purchase' THEN 4 WHEN 'error' THEN 5 ELSE 0 END"
+IMPORTS_SQL = "imports AS (SELECT 'part:' || p_partkey AS importer, 'part:' || (p_partkey // 2) AS imported FROM part WHERE p_partkey >= 2)"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def step_sql(name: str, step: graph.Step, seed: str) -> str:
+    """Capped links of a step and their closure from the seeds, as two CTEs."""
+    kinds = ", ".join(f"'{k}'" for k in step.kinds)
+    ways = {"forward": ["source_id AS node, target_id AS nbr, 0 AS dir"], "reverse": ["target_id AS node, source_id AS nbr, 1 AS dir"]}
+    ways["both"] = ways["forward"] + ways["reverse"]
+    both = " UNION ALL ".join(f"SELECT {w}, * FROM edges WHERE kind IN ({kinds})" for w in ways[step.direction])
+    stop = f"WHERE node NOT IN (SELECT node_id FROM nodes WHERE {' OR '.join(f'''regexp_matches(name, '{s}')''' for s in step.stops)})" if step.stops else ""
+    return f"""{name}_l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY verification DESC, dir, kind, nbr) AS rk FROM ({both}) {stop}) WHERE rk <= {step.cap}),
+{name}_c AS (SELECT node_id FROM {seed} UNION SELECT l.nbr FROM {name}_c c JOIN {name}_l l ON l.node = c.node_id)"""
+
+
+def slice_sql(policy: str, seed: str, select: str) -> str:
+    steps = graph.POLICIES[policy].steps
+    parts, last = [f"seed AS (SELECT '{seed}' AS node_id)", NODES_SQL, EDGES_SQL], "seed"
+    for i, s in enumerate(steps):
+        parts.append(step_sql(f"s{i}", s, last))
+        last = f"s{i}_c"
+    found = " UNION ".join(f"SELECT source_id, target_id, kind, verification FROM s{i}_l WHERE node IN (SELECT node_id FROM s{i}_c)" for i in range(len(steps)))
+    parts += [f"slice_edges AS ({found})", f"slice_nodes AS (SELECT * FROM nodes WHERE node_id IN (SELECT node_id FROM {last}))"]
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + select
+
+
+def sliced(spark: SparkSession, sf_dir: str, policy: str, seed: str) -> tuple[DataFrame, DataFrame]:
+    seeds = spark.createDataFrame([(seed,)], "node_id string")
+    return graph.compile_slice(facts.edges(spark, sf_dir), facts.nodes(spark, sf_dir), seeds, graph.POLICIES[policy])
+
+
+CUSTOMER = graph.Step(("CONTAINS", "REFERENCES", "CALLS"), "both", 25)
+
+
+@query("WITH RECURSIVE seed AS (SELECT 'customer:1' AS node_id), " + NODES_SQL + ", " + EDGES_SQL + ", " + step_sql("s", CUSTOMER, "seed") + " SELECT node_id FROM s_c")
+def closure_customer(spark, d):
+    """Everything connected to customer 1 under a cap of 25 edges a node."""
+    return graph.closure(graph.adjacency(facts.edges(spark, d), facts.nodes(spark, d), CUSTOMER), spark.createDataFrame([("customer:1",)], "node_id string"))
+
+
+def _slices() -> None:
+    for name in graph.POLICIES:
+        QUERIES[f"closure_{name}"] = lambda spark, d, p=name: sliced(spark, d, p, "order:1")[0].select("node_id", "kind", "name")
+        ORACLES[f"closure_{name}"] = slice_sql(name, "order:1", "SELECT node_id, kind, name FROM slice_nodes")
+
+
+_slices()
+
+
+@query(slice_sql("function_edit", "order:1", "SELECT DISTINCT source_id, target_id, kind, verification FROM slice_edges"))
+def slice_edges(spark, d):
+    return sliced(spark, d, "function_edit", "order:1")[1]
+
+
+@query(slice_sql("minimal", "order:1", "SELECT CAST(ceil((SELECT coalesce(sum(0.25 * length(name) + 5), 0) FROM slice_nodes) + (SELECT coalesce(sum(0.25 * (length(source_id) + length(target_id) + length(kind)) + 2), 0) FROM (SELECT DISTINCT source_id, target_id, kind FROM slice_edges))) AS BIGINT) AS tokens"))
+def token_estimate(spark, d):
+    return graph.token_estimate(*sliced(spark, d, "minimal", "order:1"))
+
+
+@query(slice_sql("minimal", "order:1", "SELECT node_id, kind, CASE WHEN node_id = 'order:1' THEN 0 WHEN kind IN ('function', 'class') OR node_id IN (SELECT source_id FROM slice_edges WHERE kind = 'CONTAINS' UNION SELECT target_id FROM slice_edges WHERE kind = 'CONTAINS') THEN 1 ELSE 2 END AS tier FROM slice_nodes"))
+def assign_tiers(spark, d):
+    n, e = sliced(spark, d, "minimal", "order:1")
+    found = graph.assign_tiers(n.withColumn("signature", F.lit(None).cast("string")), e, spark.createDataFrame([("order:1",)], "node_id string"))
+    return found.select("node_id", "kind", "tier")
+
+
+@query("WITH " + NODES_SQL + " SELECT node_id, kind, name, sha256('repo::ts::' || node_id) AS stable_id FROM nodes")
+def node_facts(spark, d):
+    return facts.nodes(spark, d)
+
+
+@query("WITH " + EDGES_SQL + " SELECT * FROM edges")
+def edge_facts(spark, d):
+    return facts.edges(spark, d)
+
+
+@query(f"SELECT 'user:' || user_id AS source_id, 'event:' || event_type AS target_id, 'OBSERVED_CALL' AS kind, arg_max({TIER_SQL}, (ts, event_id)) AS verification, 'events' AS source_method, arg_max(props, (ts, event_id)) AS metadata FROM events GROUP BY user_id, event_type")
+def latest_evidence(spark, d):
+    return graph.latest_evidence(facts.evidence(spark, d))
+
+
+@query(f"SELECT 'user:' || user_id AS source_id, 'event:' || event_type AS target_id, string_agg(CAST({TIER_SQL} AS VARCHAR), ',' ORDER BY ts, event_id) AS tiers, count(*) AS n FROM events GROUP BY user_id, event_type")
+def evidence_history(spark, d):
+    listed = F.array_sort(F.collect_list(F.struct("created_at", "seq", "verification")))
+    return facts.evidence(spark, d).groupBy("source_id", "target_id").agg(F.array_join(F.transform(listed, lambda x: x["verification"].cast("string")), ",").alias("tiers"), F.count("*").alias("n"))
+
+
+@query("WITH " + EDGES_SQL + " SELECT node, nbr, kind, verification FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY verification DESC, dir, kind, nbr) AS rk FROM (SELECT source_id AS node, target_id AS nbr, 0 AS dir, * FROM edges WHERE kind = 'CALLS' UNION ALL SELECT target_id, source_id, 1, * FROM edges WHERE kind = 'CALLS')) WHERE rk <= 5")
+def topk_edges_per_node(spark, d):
+    return graph.adjacency(facts.edges(spark, d), facts.nodes(spark, d), graph.Step(("CALLS",), "both", 5)).select("node", "nbr", "kind", "verification")
+
+
+@query("WITH " + EDGES_SQL + " SELECT * FROM edges WHERE source_id IN (SELECT 'order:' || o_orderkey FROM orders WHERE o_orderstatus = 'F') AND kind = 'CALLS'")
+def expand_forward(spark, d):
+    frontier = facts.table(spark, d, "orders").where("o_orderstatus = 'F'").select(facts.key("order", "o_orderkey").alias("node_id"))
+    return graph.expand(facts.edges(spark, d), frontier, "forward", ("CALLS",))
+
+
+@query("WITH " + EDGES_SQL + " SELECT * FROM edges WHERE target_id IN (SELECT 'nation:' || n_nationkey FROM nation WHERE n_regionkey = 1) AND kind = 'REFERENCES'")
+def expand_reverse(spark, d):
+    frontier = facts.table(spark, d, "nation").where("n_regionkey = 1").select(facts.key("nation", "n_nationkey").alias("node_id"))
+    return graph.expand(facts.edges(spark, d), frontier, "reverse", ("REFERENCES",))
+
+
+@query("WITH " + EDGES_SQL + " SELECT target_id AS file, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, target_id) AS place FROM edges WHERE kind IN ('REFERENCES', 'CALLS') GROUP BY target_id QUALIFY place <= 50")
+def hot_files(spark, d):
+    """The most referenced targets."""
+    top = facts.edges(spark, d).where(F.col("kind").isin("REFERENCES", "CALLS")).groupBy(F.col("target_id").alias("file")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "file").limit(50)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "file")).cast("long"))
+
+
+@query("WITH " + NODES_SQL + " SELECT name, min(node_id) AS node_id FROM nodes GROUP BY name HAVING count(*) = 1")
+def unique_names(spark, d):
+    """E3."""
+    return facts.nodes(spark, d).groupBy("name").agg(F.min("node_id").alias("node_id"), F.count("*").alias("n")).where("n = 1").drop("n")
+
+
+#: Words of each language's start of a sentence would not be distinctive names; a few fixed ones stand for them.
+STOPWORDS = ("this", "that", "with", "from", "name", "type", "value", "data")
+
+
+@query(
+    """WITH tokens AS (SELECT doc_id, unnest(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*)', 1)) AS name FROM documents),
+first AS (SELECT name, min(doc_id) AS target, count(DISTINCT doc_id) AS n FROM tokens WHERE length(name) >= 4 AND lower(name) NOT IN ('this', 'that', 'with', 'from', 'name', 'type', 'value', 'data') GROUP BY name HAVING count(DISTINCT doc_id) = 2)
+SELECT t.doc_id AS source, f.target, count(DISTINCT t.name) AS names FROM tokens t JOIN first f USING (name) WHERE t.doc_id <> f.target GROUP BY t.doc_id, f.target"""
+)
+def cross_refs(spark, d):
+    """Documents tied by identifiers that just two of them hold, from the later to the earlier."""
+    tokens = facts.table(spark, d, "documents").select("doc_id", F.explode(X.identifiers(F.col("text"))).alias("name")).where((F.length("name") >= 4) & ~F.lower("name").isin(*STOPWORDS)).distinct()
+    first = tokens.groupBy("name").agg(F.min("doc_id").alias("target"), F.max("doc_id").alias("source"), F.count("*").alias("n")).where("n = 2")
+    return first.groupBy("source", "target").agg(F.count("*").alias("names"))
+
+
+@query(
+    """WITH defs AS (SELECT p_brand AS file, p_partkey AS start, p_partkey + p_size AS stop FROM part),
+refs AS (SELECT DISTINCT p_brand AS file, l_partkey AS line FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT r.file, r.line, max(d.start) AS start FROM refs r LEFT JOIN defs d ON d.file = r.file AND r.line BETWEEN d.start AND d.stop GROUP BY r.file, r.line"""
+)
+def enclosing_interval(spark, d):
+    """The innermost interval around each line. Intervals are dealt to blocks of lines, so that the
+    join is by equal keys and a block holds few of them."""
+    part = facts.table(spark, d, "part")
+    block = 64
+    defs = part.select(F.col("p_brand").alias("file"), F.col("p_partkey").alias("start"), (F.col("p_partkey") + F.col("p_size")).alias("stop")).withColumn("block", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"stop div {block}"))))
+    lines = facts.table(spark, d, "lineitem").select("l_partkey").distinct()
+    refs = lines.join(part, lines.l_partkey == part.p_partkey).select(F.col("p_brand").alias("file"), F.col("l_partkey").alias("line")).withColumn("block", F.expr(f"line div {block}"))
+    found = refs.join(defs, ["file", "block"], "left")
+    return found.groupBy("file", "line").agg(F.max(F.when(F.col("line").between(F.col("start"), F.col("stop")), F.col("start"))).alias("start"))
+
+
+@query("WITH " + IMPORTS_SQL + " SELECT importer AS node_id FROM imports WHERE imported = 'part:7'")
+def dirty_direct(spark, d):
+    return graph.dependents(facts.imports(spark, d), spark.createDataFrame([("part:7",)], "node_id string"), transitive=False)
+
+
+@query("WITH RECURSIVE " + IMPORTS_SQL + ", c AS (SELECT 'part:7' AS node_id UNION SELECT importer FROM c JOIN imports ON imported = node_id) SELECT node_id FROM c WHERE node_id <> 'part:7'")
+def dirty_transitive(spark, d):
+    return graph.dependents(facts.imports(spark, d), spark.createDataFrame([("part:7",)], "node_id string"))
+
+
+@query("WITH " + IMPORTS_SQL + " SELECT DISTINCT importer AS node_id FROM imports WHERE imported IN ('part:7', 'part:9')")
+def dirty_rename(spark, d):
+    """H4: importers of the old or the new path."""
+    return graph.dependents(facts.imports(spark, d), spark.createDataFrame([("part:7",), ("part:9",)], "node_id string"), transitive=False, keep_seeds=True)
+
+
+@query("WITH " + EDGES_SQL + " SELECT * FROM edges WHERE source_id NOT IN (SELECT 'order:' || o_orderkey FROM orders WHERE o_custkey = 1)")
+def clear_file_out(spark, d):
+    """Edges left after the nodes of one file, here the orders of customer 1, lose their outgoing ones."""
+    gone = facts.table(spark, d, "orders").where("o_custkey = 1").select(facts.key("order", "o_orderkey").alias("source_id"))
+    return facts.edges(spark, d).join(gone, "source_id", "left_anti").select("source_id", "target_id", "kind", "verification")
+
+
+@query("WITH " + EDGES_SQL + " SELECT * FROM edges WHERE source_id <> 'customer:1' AND target_id <> 'customer:1'")
+def clear_file_both(spark, d):
+    return facts.edges(spark, d).where("source_id <> 'customer:1' and target_id <> 'customer:1'")
+
+
+@query("SELECT doc_id, sha256(text) AS content_hash FROM documents WHERE doc_id % 5 = 0")
+def changed_files(spark, d):
+    """Files whose hash differs from the catalog's, in which every fifth is out of date."""
+    new = facts.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
+    old = new.select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.lit("old")).otherwise(F.col("content_hash")).alias("content_hash"))
+    return new.join(old, ["doc_id", "content_hash"], "left_anti")
+
+
+@query("WITH " + EDGES_SQL + ", hot AS (SELECT target_id, count(*) AS n FROM edges WHERE kind = 'REFERENCES' GROUP BY target_id) SELECT 'nation:' || n_nationkey AS file, coalesce(n, 0) AS n, row_number() OVER (ORDER BY n DESC NULLS LAST, 'nation:' || n_nationkey) AS place FROM nation LEFT JOIN hot ON target_id = 'nation:' || n_nationkey WHERE n_nationkey % 3 <> 0")
+def pending_resolution(spark, d):
+    """Files that are not resolved yet, the hottest first."""
+    files = facts.table(spark, d, "nation").select(facts.key("nation", "n_nationkey").alias("file"), "n_nationkey")
+    pending = files.join(files.where("n_nationkey % 3 = 0").select("file"), "file", "left_anti")
+    hot = facts.edges(spark, d).where("kind = 'REFERENCES'").groupBy(F.col("target_id").alias("file")).agg(F.count("*").alias("n"))
+    return pending.join(hot, "file", "left").select("file", F.coalesce("n", F.lit(0)).alias("n"), F.row_number().over(Window.orderBy(F.desc_nulls_last("n"), "file")).cast("long").alias("place"))
+
+
+@query("SELECT 'nation:' || c_nationkey AS container_id, 'customer:' || c_custkey AS node_id, 'related' AS role FROM customer UNION ALL SELECT 'nation:' || s_nationkey, 'supplier:' || s_suppkey, 'primary' FROM supplier")
+def container_members(spark, d):
+    """B10, J10."""
+    c = facts.table(spark, d, "customer").select(facts.key("nation", "c_nationkey").alias("container_id"), facts.key("customer", "c_custkey").alias("node_id"), F.lit("related").alias("role"))
+    s = facts.table(spark, d, "supplier").select(facts.key("nation", "s_nationkey").alias("container_id"), facts.key("supplier", "s_suppkey").alias("node_id"), F.lit("primary").alias("role"))
+    return c.unionByName(s)
+
+
+@query("SELECT DISTINCT 'nation:' || c_nationkey AS dependent_id, 'nation:' || s_nationkey AS dependency_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey")
+def container_deps(spark, d):
+    """D12, B11."""
+    t = lambda n: facts.table(spark, d, n)
+    j = t("lineitem").select("l_orderkey", "l_suppkey").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return j.where("c_nationkey <> s_nationkey").select(facts.key("nation", "c_nationkey").alias("dependent_id"), facts.key("nation", "s_nationkey").alias("dependency_id")).distinct()
+
+
+@query("SELECT 'nation:' || n_nationkey AS id, CAST(1 + CASE WHEN n_nationkey = 3 OR n_regionkey = (SELECT n_regionkey FROM nation WHERE n_nationkey = 3) THEN 1 ELSE 0 END AS INTEGER) AS version, n_regionkey = (SELECT n_regionkey FROM nation WHERE n_nationkey = 3) AS dirty FROM nation")
+def container_dirty(spark, d):
+    """Nation 3 turns dirty, and its direct dependents, those of its region, with it."""
+    n = facts.table(spark, d, "nation")
+    hit = n.join(n.where("n_nationkey = 3").select("n_regionkey"), "n_regionkey", "left_semi").select("n_nationkey", F.lit(True).alias("hit"))
+    hit = F.broadcast(hit)  # a region's nations
+    dirty = F.coalesce("hit", F.lit(False))
+    return n.join(hit, "n_nationkey", "left").select(facts.key("nation", "n_nationkey").alias("id"), F.when(dirty, 2).otherwise(1).alias("version"), dirty.alias("dirty"))
+
+
+@query("WITH cache AS (SELECT 'customer:' || c_custkey AS k, c_nationkey AS c, CAST(c_custkey % 3 AS INTEGER) AS version, ['customer:' || c_custkey, 'customer:' || (c_custkey + 5)] AS ids FROM customer) SELECT k, (version >= n_nationkey % 3) AND n_nationkey <> 4 AND (SELECT count(*) FROM customer WHERE list_contains(ids, 'customer:' || c_custkey)) = 2 AS valid FROM cache JOIN nation ON c = n_nationkey")
+def cache_validity(spark, d):
+    """A cached slice holds while its container is clean and no newer, and its nodes are there."""
+    c, n = facts.table(spark, d, "customer"), facts.table(spark, d, "nation")
+    cache = c.select(facts.key("customer", "c_custkey").alias("k"), "c_nationkey", (F.col("c_custkey") % 3).alias("version"), F.array("c_custkey", F.col("c_custkey") + 5).alias("ids"))
+    there = cache.select("k", F.explode("ids").alias("c_custkey")).join(c.select("c_custkey"), "c_custkey", "left_semi").groupBy("k").agg(F.count("*").alias("there"))
+    gate = (F.col("version") >= F.col("n_nationkey") % 3) & (F.col("n_nationkey") != 4) & (F.coalesce("there", F.lit(0)) == 2)
+    return cache.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).join(there, "k", "left").select("k", gate.alias("valid"))  # nations are few
+
+
+@query("SELECT doc_id, " + "regexp_replace(" * len(X.SECRETS) + "text" + "".join(f", '{p.replace(chr(39), chr(39) * 2)}', '{r.replace('$1', chr(92) + '1')}', 'g')" for p, r in X.SECRETS) + " AS clean FROM documents")
+def redact_secrets(spark, d):
+    return facts.table(spark, d, "documents").select("doc_id", X.redact(F.col("text")).alias("clean"))
+
+
+RULES = [("**/node_modules/**", "skip"), ("**/*.pem", "skip"), ("**/.env*", "redact"), ("**/src1?", "skip"), ("**/src*", "redact")]
+
+
+@query("SELECT source, CASE " + " ".join(f"WHEN regexp_matches('corpus/' || source, '{X.glob_regex(g)}') THEN '{a}'" for g, a in RULES) + " END AS action FROM (SELECT DISTINCT source FROM documents)")
+def exclusion_rules(spark, d):
+    """C1, I11."""
+    s = facts.table(spark, d, "documents").select("source").distinct()
+    return s.select("source", X.excluded(F.concat(F.lit("corpus/"), "source"), RULES).alias("action"))
+
+
+@query(
+    r"""WITH p AS (SELECT doc_id, trim(regexp_replace(regexp_split_to_array(text, '\n[ \t]*\n')[1], '[ \t\r\n]+', ' ', 'g')) AS s FROM documents)
+SELECT doc_id, CASE WHEN length(s) < 3 THEN NULL WHEN length(s) > 200 THEN regexp_replace(substring(s, 1, 200), ' [^ ]*$', '') || '…' ELSE s END AS doc FROM p"""
+)
+def normalize_doc(spark, d):
+    return facts.table(spark, d, "documents").select("doc_id", X.normalize_doc(F.col("text")).alias("doc"))
+
+
+@query("SELECT page_id, " + "regexp_replace(" * len(X.STRIPPED) + "html" + "".join(f", '{p.replace(chr(39), chr(39) * 2)}', ' ', 'g')" for p in X.STRIPPED) + " AS bare FROM pages")
+def strip_comments(spark, d):
+    return facts.table(spark, d, "pages").select("page_id", X.strip_comments(F.col("html")).alias("bare"))
+
+
+@query("SELECT page_id, CAST(len(regexp_extract_all(html, '([A-Za-z_][A-Za-z0-9_]*)', 1)) AS BIGINT) AS n, regexp_extract_all(html, '([A-Za-z_][A-Za-z0-9_]*)', 1)[1] AS first FROM pages")
+def identifiers(spark, d):
+    ids = X.identifiers(F.col("html"))
+    return facts.table(spark, d, "pages").select("page_id", F.size(ids).cast("long").alias("n"), F.get(ids, F.lit(0)).alias("first"))
+
+
+@query("SELECT item_id, CAST(ceil(length(text) / 3.2) AS BIGINT) AS render, CAST(ceil(length(text) / 4.0) AS BIGINT) AS budget, substring(trim(split_part(text, '{', 1)), 1, 500) AS signature FROM benchmark")
+def token_counts_by_length(spark, d):
+    """I12, M5."""
+    return facts.table(spark, d, "benchmark").select("item_id", X.render_tokens(F.col("text")).alias("render"), X.budget_tokens(F.col("text")).alias("budget"), X.signature(F.col("text")).alias("signature"))
+
+
+@query("WITH " + NODES_SQL + " SELECT node_id, kind, name FROM nodes WHERE name ILIKE '%00012%' OR node_id ILIKE '%00012%' ORDER BY node_id LIMIT 20")
+def search_like(spark, d):
+    return S.like_search(facts.nodes(spark, d), "00012")
+
+
+TERMS = ("the", "that", "password")
+BM25_SQL = """WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x : x <> '') AS tok FROM documents),
+st AS (SELECT count(*) AS docs, avg(len(tok)) AS avgdl FROM t),
+h AS (SELECT doc_id, len(tok) AS dl, term, count(*) AS tf FROM (SELECT doc_id, tok, unnest(tok) AS term FROM t) WHERE term IN ('the', 'that', 'password') GROUP BY doc_id, len(tok), term),
+df AS (SELECT term, count(*) AS df FROM h GROUP BY term)
+SELECT doc_id AS id, round(sum(CASE WHEN ln((docs - df + 0.5) / (df + 0.5)) > 0 THEN ln((docs - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+FROM h JOIN df USING (term), st GROUP BY doc_id"""
+
+
+@query(BM25_SQL)
+def search_bm25(spark, d):
+    return S.bm25(facts.table(spark, d, "documents"), "doc_id", "text", list(TERMS)).select("id", F.round("score", 6).alias("score"))
+
+
+@query()
+def search_rerank(spark, d):
+    """No SQL, since a top-k of float scores with ties by rounding is checked in tests."""
+    return S.search(facts.nodes(spark, d), "europe asia", 10)
+
+
+@query("WITH " + EDGES_SQL + " SELECT source_id, target_id, kind, verification, cost, CAST(spent AS BIGINT) AS spent, remaining FROM (SELECT *, sum(cost) OVER (PARTITION BY target_id ORDER BY verification DESC, kind, source_id ROWS UNBOUNDED PRECEDING) + 5 AS spent, count(*) OVER (PARTITION BY target_id) - row_number() OVER (PARTITION BY target_id ORDER BY verification DESC, kind, source_id) AS remaining FROM (SELECT *, greatest(3, CAST(ceil(length(source_id || ' ' || kind || ' ' || target_id) / 3.2) AS BIGINT)) AS cost FROM edges WHERE kind = 'CALLS')) WHERE spent <= 200")
+def budget_cut_edges(spark, d):
+    return render.edges_within(facts.edges(spark, d).where("kind = 'CALLS'"), "target_id", 200).select("source_id", "target_id", "kind", "verification", "cost", "spent", "remaining")
+
+
+@query()
+def budget_greedy_source(spark, d):
+    """a sequential fold, held against a loop in the tests."""
+    items = facts.table(spark, d, "documents").select("source", "doc_id", X.render_tokens(F.col("text")).alias("cost"))
+    return render.greedy_fit(items, "source", "doc_id", "cost", 4000)
+
+
+@query("WITH " + EDGES_SQL + ", " + NODES_SQL + " SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM documents) AS files, (SELECT count(*) FROM nation) AS containers, (SELECT count(*) FROM documents WHERE doc_id % 5 = 0) AS dirty")
+def stats(spark, d):
+    """One row of counts."""
+    docs = facts.table(spark, d, "documents")
+    one = [facts.nodes(spark, d).agg(F.count("*").alias("nodes")), facts.edges(spark, d).agg(F.count("*").alias("edges")), docs.agg(F.count("*").alias("files"), F.count_if(F.col("doc_id") % 5 == 0).alias("dirty")), facts.table(spark, d, "nation").agg(F.count("*").alias("containers"))]
+    out = one[0]
+    for x in one[1:]:
+        out = out.crossJoin(x)  # one row each
+    return out.select("nodes", "edges", "files", "containers", "dirty")
+
+
+@query("SELECT user_id, event_type, start, last_id, n FROM (SELECT user_id, event_type, sid, min(ts) AS start, arg_max(event_id, (ts, event_id)) AS last_id, count(*) AS n FROM (SELECT *, sum(brk) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS brk FROM events)) GROUP BY user_id, event_type, sid)")
+def debounce_sessions(spark, d):
+    """K2: events of a key within an hour of each other make one session, whose last event wins."""
+    from quern.streaming.changes import debounced
+
+    return debounced(facts.table(spark, d, "events"), ["user_id", "event_type"], "ts", "event_id", "1 hour")
+
+
+@query("WITH e AS (SELECT item_id, text FROM benchmark) SELECT item_id, (SELECT count(*) FROM documents WHERE contains(documents.text, substring(e.text, 1, 60))) AS hits FROM e")
+def gold_eval(spark, d):
+    """How many documents hold each expected fragment. Gold cases are a checked small set: it is an
+    error to give more than GOLD of them."""
+    cases = facts.table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 60).alias("fragment"))
+    rows = cases.limit(GOLD + 1).collect()
+    if len(rows) > GOLD:
+        raise ValueError(f"more than {GOLD} gold cases")
+    fragments = F.array(*(F.lit(r["fragment"]) for r in rows)) if rows else F.expr("cast(array() as array<string>)")
+    hits = facts.table(spark, d, "documents").select(F.explode(F.array_distinct(F.filter(fragments, lambda f: F.contains("text", f)))).alias("fragment")).groupBy("fragment").agg(F.count("*").alias("hits"))
+    return cases.join(hits, "fragment", "left").select("item_id", F.coalesce("hits", F.lit(0)).alias("hits"))
+
+
+#: Gold cases at most.
+GOLD = 1000
