@@ -78,3 +78,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.spans import without_repeats
 
     return without_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
