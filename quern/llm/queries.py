@@ -85,3 +85,10 @@ def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.neighbours import nearest
 
     return nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op8_ctw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.ctw import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
