@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quern.llm.shared import _LOWER, fold, parts_of, release, stored, texts, word_hashes
 
 #: Bytes of context, and bytes of text of a batch.
-DEPTH, BATCH = 6, 8 << 20
+DEPTH, BATCH = 5, 8 << 20
 #: Buckets of words and of runs are told apart by sign.
 ROWS = "batch long, bucket int, keys binary, counts binary"
 HELD = 1
@@ -149,13 +149,13 @@ class Level:
         names = (contexts.astype(np.uint64)[None, :] << np.uint64(8)) | node.astype(np.uint64)
         self.names, at = np.unique(names.ravel(), return_inverse=True)
         n = np.tile(counts, (8, 1)).ravel()
-        self.n = np.stack([np.bincount(at, n * (bit.ravel() == b), len(self.names)) for b in (0, 1)])
+        self.n = np.stack([np.bincount(at, n * (bit.ravel() == b), len(self.names)) for b in (0, 1)]).astype(float)
         self.own = log_kt(self.n)
         self.all, self.weight = self.own, np.ones(len(self.names))
 
     def over(self, below: Level | None, parent=None, sums: np.ndarray | None = None) -> None:
         if below is not None:
-            sums = np.bincount(np.searchsorted(self.names, parent(below.names)), below.all, len(self.names))
+            sums = np.bincount(np.searchsorted(self.names, parent(below.names)), below.all, len(self.names)).astype(float)
         self.all = np.logaddexp(self.own, sums) - np.log(2)
         self.weight = np.exp(self.own - np.log(2) - self.all)
 
@@ -189,7 +189,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     training document, the model is uniform over bytes; an empty table gives an empty result; other
     columns are left out."""
     rows = texts(docs, id_col, text_col).select("doc_id", (fold(F.col("doc_id"), 5) == HELD).alias("held_out"), "text")
-    buckets = parts_of(rows)
+    buckets = parts_of(rows, 4)
     table = stored(scanned(rows, buckets), "batches")
     runs, words, whole = table.where("bucket > 0"), table.where("bucket < 0"), table.where("bucket = 0")
 

@@ -136,10 +136,11 @@ def mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None
     copies is the rate rounded up or down by the hash of the id, so that its mean over ids is the rate.
     Null and empty texts have no tokens, the posterior of the constant alone, and a rate like any other;
     repeated rows have equal results; an empty table gives an empty result; without labels all domains
-    are equally likely; other columns are left out."""
+    are equally likely and every rate is 1; other columns are left out."""
     rows = texts(docs)
-    found = stored(posteriors(rows, fit(rows, labels)), "posteriors")
-    rate = rate_of(F.col("p"), fitted_rates(found, weights or TARGETS, ridge=ridge), ridge)
+    learnt = fit(rows, labels)
+    found = stored(posteriors(rows, learnt), "posteriors")
+    rate = rate_of(F.col("p"), fitted_rates(found, weights or TARGETS, ridge=ridge) if learnt.any() else [], ridge)
     out = found.select("doc_id", "n_tokens", *(F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(DOMAINS)), F.round(rate, 6).alias("rate"))
     coin = F.pmod(F.xxhash64("doc_id", F.lit(55)), F.lit(1_000_000)) / 1_000_000
     return out.withColumn("copies", (F.floor("rate") + (coin < F.col("rate") - F.floor("rate")).cast("long")).cast("int"))

@@ -45,7 +45,7 @@ def pooled(values: list[str], tables: list[np.ndarray], bias: np.ndarray, block:
         halves, n = [], len(raw)
         data = np.frombuffer(raw + bytes(WIDTH), np.uint8)
         for a in range(0, max(n, 1), block):  # memory is bounded however long the text
-            part = data[a : min(n, a + block) + WIDTH - 1].astype(np.int32)
+            part = data[a : min(max(n, 1), a + block) + WIDTH - 1].astype(np.int32)
             two = part[:-1] * 256 + part[1:]
             m = max(len(part) - WIDTH + 1, 1)
             act = tables[0].take(two[:m], axis=0)
