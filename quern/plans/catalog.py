@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.functions import extract
 from quern.functions import text as X
 from quern.operators import facts, graph, render
 from quern.operators import search as S
+from quern.sources import runtime
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -374,3 +376,52 @@ def gold_eval(spark, d):
 
 #: Gold cases at most.
 GOLD = 1000
+
+
+@query("SELECT DISTINCT 'test:orders.ts:order ' || l_orderkey AS source_id, 'function:supplier' || l_suppkey || '.ts:part' || l_partkey AS target_id, 'OBSERVED_CALL' AS kind, 5 AS verification, CAST(l_linenumber AS VARCHAR) AS line FROM lineitem")
+def runtime_traces(spark, d):
+    """Each order as a test trace that calls its parts."""
+    call = F.struct(F.concat(F.lit("part"), "l_partkey").alias("functionName"), F.concat(F.lit("supplier"), "l_suppkey", F.lit(".ts")).alias("file"), F.col("l_linenumber").alias("line"))
+    test = F.struct(F.lit("orders.ts").alias("testFile"), F.concat(F.lit("order "), "l_orderkey").alias("testName"), F.collect_list(call).alias("calls"))
+    files = facts.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.to_json(F.array(test)).alias("content"))
+    return runtime.test_trace(files).select("source_id", "target_id", "kind", "verification", F.element_at("metadata", "line").alias("line")).distinct()
+
+
+@query("SELECT 'file:order' || l_orderkey AS source_id, 'line:order' || l_orderkey || ':' || l_linenumber AS target_id, 'COVERS_LINE' AS kind, 5 AS verification, CAST(CAST(l_quantity AS BIGINT) - 25 AS VARCHAR) AS hits FROM lineitem WHERE l_quantity > 25")
+def coverage_lines(spark, d):
+    """Each order as an lcov record whose lines have hits by quantity."""
+    line = F.concat(F.lit("DA:"), "l_linenumber", F.lit(","), F.greatest(F.col("l_quantity").cast("long") - 25, F.lit(0)))
+    record = F.concat(F.lit("TN:\nSF:order"), "l_orderkey", F.lit("\n"), F.array_join(F.collect_list(line), "\n"), F.lit("\nend_of_record\n"))
+    files = facts.table(spark, d, "lineitem").groupBy("l_orderkey").agg(record.alias("content"))
+    return runtime.lcov(files).select("source_id", "target_id", "kind", "verification", F.element_at("metadata", "hits").alias("hits"))
+
+
+#: Source files that the tables don't have: path and content.
+SOURCES = [
+    ("a.py", "import os\nfrom x.y import z\nclass A:\n    def f(self): pass\n"),
+    ("lib.rs", "use std::io;\npub struct S;\nimpl S {\n    pub fn go() {}\n}\n"),
+    ("m.go", 'import (\n\t"fmt"\n)\ntype T struct {}\nfunc (t T) Run() {}\n'),
+    ("r.ts", "import { h } from './h';\nexport function start() {}\napp.get('/api/u', h); app.use('/api');\nbus.emit('made', 1); bus.on('made', h); fetch('/x'); process.env.KEY; db.select(); pgTable('t', {})\n"),
+]
+
+
+@query(
+    """SELECT * FROM (VALUES
+('file:a.py', 'module:os', 'IMPORTS', 0), ('file:a.py', 'module:x.y', 'IMPORTS', 0), ('file:a.py', 'class:a.py:A', 'CONTAINS', 2), ('file:a.py', 'function:a.py:f', 'CONTAINS', 2),
+('file:lib.rs', 'module:std::io', 'IMPORTS', 0), ('file:lib.rs', 'class:lib.rs:S', 'CONTAINS', 2), ('file:lib.rs', 'method:lib.rs:impl S', 'CONTAINS', 2), ('file:lib.rs', 'function:lib.rs:go', 'CONTAINS', 2),
+('file:m.go', 'module:fmt', 'IMPORTS', 0), ('file:m.go', 'class:m.go:T', 'CONTAINS', 2), ('file:m.go', 'function:m.go:Run', 'CONTAINS', 2), ('file:m.go', 'method:m.go:Run', 'CONTAINS', 2),
+('file:r.ts', 'module:./h', 'IMPORTS', 2), ('file:r.ts', 'function:r.ts:start', 'CONTAINS', 2), ('file:r.ts', 'export:r.ts:start', 'EXPORTS', 2)) t(source_id, target_id, kind, verification)"""
+)
+def source_facts(spark, d):
+    """L1-L5 by rules, over files that stand for a source tree."""
+    return extract.facts(spark.createDataFrame(SOURCES, "path string, content string"), extract.LANGUAGES).select("source_id", "target_id", "kind", "verification")
+
+
+@query(
+    """SELECT * FROM (VALUES
+('file:r.ts', 'route:GET /api/u', 'EXPOSES_ROUTE', 3), ('file:r.ts', 'route:USE /api', 'EXPOSES_ROUTE', 3), ('file:r.ts', 'event:made', 'EMITS_EVENT', 3), ('file:r.ts', 'event:made', 'CONSUMES_EVENT', 3),
+('file:r.ts', 'route:UNKNOWN /x', 'CONSUMES_ROUTE', 3), ('file:r.ts', 'config_key:KEY', 'REFERENCES', 3), ('file:r.ts', 'db_table:unknown', 'READS_TABLE', 3), ('file:r.ts', 'db_table:t', 'CONTAINS', 3)) t(source_id, target_id, kind, verification)"""
+)
+def contract_facts(spark, d):
+    """L8-L14."""
+    return extract.facts(spark.createDataFrame(SOURCES, "path string, content string"), extract.CONTRACTS).select("source_id", "target_id", "kind", "verification")
