@@ -75,10 +75,11 @@ def robust_prune(x: np.ndarray, p: int, candidates: np.ndarray, degree: int, alp
 
 
 def build(x: np.ndarray, degree: int = DEGREE, width: int = BUILD, alpha: float = ALPHA, seed: int = 3) -> tuple[np.ndarray, int]:
-    """(graph, entry): neighbours of each node, -1 where there are fewer than `degree`."""
-    n = len(x)
+    """(graph, entry): neighbours of each node, -1 where there are fewer than `degree`. While it grows, a
+    node may hold twice as many, so that it is pruned once for many reverse edges; in the end all are pruned."""
+    n, room = len(x), 2 * degree
     entry = int(((x - x.mean(0)) ** 2).sum(1).argmin())
-    graph = np.full((n, degree), -1)
+    graph = np.full((n, room), -1)
     order = np.random.default_rng(seed).permutation(n)
     order = np.r_[entry, order[order != entry]]
     a = 1
@@ -94,11 +95,15 @@ def build(x: np.ndarray, degree: int = DEGREE, width: int = BUILD, alpha: float
         for k, new in incoming.items():
             have = graph[k][graph[k] >= 0]
             both = np.union1d(have, new)
-            kept = both if len(both) <= degree else robust_prune(x, k, both, degree, alpha)
+            kept = both if len(both) <= room else robust_prune(x, k, both, degree, alpha)
             graph[k] = -1
             graph[k, : len(kept)] = kept
         a += len(batch)
-    return graph, entry
+    for k in np.flatnonzero((graph >= 0).sum(1) > degree).tolist():
+        kept = robust_prune(x, k, graph[k], degree, alpha)
+        graph[k] = -1
+        graph[k, : len(kept)] = kept
+    return graph[:, :degree], entry
 
 
 def valid(column: str):
