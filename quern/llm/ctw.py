@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.shared import _LOWER, fold, parts_of, release, stored, texts, word_hashes
+from quern.llm.shared import _LOWER, fold, grouped, parts_of, release, stored, texts, word_hashes
 
 #: Bytes of context, and bytes of text of a batch.
 DEPTH, BATCH = 5, 8 << 20
@@ -58,12 +58,24 @@ def runs_of(raws: list[bytes]) -> np.ndarray:
     return x[keep]
 
 
-def counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and how many of each are in training texts."""
-    found, both = np.unique(keys, return_counts=True)
-    rest, held = np.unique(keys[~train], return_counts=True)
-    both[np.searchsorted(found, rest)] -= held
-    return found, both
+def keyed(raws: list[bytes], sign: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of some texts, runs or words by sign, and the number of each text's."""
+    if sign > 0:
+        return runs_of(raws), np.array([len(r) + 1 for r in raws])
+    hs, starts = word_hashes(b"\n".join(raws))
+    return hs, np.diff(np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raws)])))
+
+
+def counted(raws: list[bytes], train: np.ndarray, sign: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of the texts and how many of each are in training texts."""
+    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0)]
+    for a, b in grouped(raws):
+        all_keys, n = keyed(raws[a:b], sign)
+        found, at = np.unique(all_keys, return_inverse=True)
+        keys.append(found)
+        counts.append(np.bincount(at, np.repeat(train[a:b], n), len(found)))
+    found, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return found, np.bincount(at, np.concatenate(counts), len(found)).astype(np.int64)
 
 
 def by_bucket(keys: np.ndarray, sign: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,13 +92,9 @@ def scanned(docs: DataFrame, buckets: int) -> DataFrame:
 
     def of(number: int, ids: list, held: list, values: list[str]):
         raws = [v.encode("utf-8", "replace") for v in values]
-        hs, starts = word_hashes(b"\n".join(raws))
-        bounds = np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raws)]))
-        out = np.array(held, bool)
         yield number, 0, squeeze(np.frombuffer(b"".join(raws), np.uint8)), squeeze(np.array([[-(1 << 63) if i is None else i for i in ids], held, [len(r) for r in raws]], np.int64))
-        runs = runs_of(raws)
-        for sign, keys, train in ((1, runs, ~np.repeat(out, [len(r) + 1 for r in raws])), (-1, hs, ~np.repeat(out, np.diff(bounds)))):
-            keys, n = counted(keys, train)
+        for sign in (1, -1):
+            keys, n = counted(raws, ~np.array(held, bool), sign)
             order, cuts = by_bucket(keys, sign, buckets)
             for k in range(buckets):
                 at = order[cuts[k] : cuts[k + 1]]
@@ -251,23 +259,25 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         ends_at = np.cumsum(sizes)
         raws = [data[e - s : e] for e, s in zip(ends_at, sizes, strict=True)]
 
-        def told_for(keys: np.ndarray, sign: int, kind) -> np.ndarray:
-            found, at = np.unique(keys, return_inverse=True)
+        bottom = n_train + 0.5 * (distinct + 1)
+
+        def sums(sign: int, kind, *measures) -> list[np.ndarray]:
+            """For each text the sums of what the measures make of the answers to its keys."""
+            kept = []
+            for a, b in grouped(raws):
+                keys, n = keyed(raws[a:b], sign)
+                found, at = np.unique(keys, return_inverse=True)
+                kept.append((found, at.astype(np.int32), n))
+            found = np.unique(np.concatenate([x[0] for x in kept]))
             order, cuts = by_bucket(found, sign, buckets)
             values = np.zeros(len(found), kind)
             for r in part[part["bucket"] * sign > 0].itertuples():
                 values[order[cuts[abs(r.bucket) - 1] : cuts[abs(r.bucket)]]] = stretch(r.a, kind)
-            return values[at]
+            return [np.concatenate([np.bincount(np.repeat(np.arange(len(n)), n), f(values[np.searchsorted(found, u)])[at], len(n)) for u, at, n in kept]) for f in measures]
 
-        value = np.add.reduceat(told_for(runs_of(raws), 1, np.float32).astype(np.float64), np.r_[0, np.cumsum(sizes + 1)[:-1]])
-        hs, starts = word_hashes(b"\n".join(raws))
-        c = told_for(hs, -1, np.int64)
-        bounds = np.searchsorted(starts, np.cumsum([0, *(sizes + 1)]))
-        bottom = n_train + 0.5 * (distinct + 1)
-        hit = np.r_[0, np.cumsum(c > 0)]
-        base = [float(np.log10((c[a:b] + 0.5) / bottom).sum()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        value = sums(1, np.float32, lambda x: x.astype(np.float64))[0]
+        n, hit, base = sums(-1, np.int64, np.ones_like, lambda x: x > 0, lambda x: np.log10((x + 0.5) / bottom))
         end = float(np.log10((ends + 0.5) / bottom))
-        n = np.diff(bounds)
-        return pd.DataFrame({"doc_id": pd.array([None if i == -(1 << 63) else i for i in ids.tolist()], "Int64"), "held_out": held.astype(bool), "n_tokens": n + 1, "n_known": hit[bounds[1:]] - hit[bounds[:-1]] + (ends > 0), "train_tokens": n_train, "base_score": np.array(base) + end, "score": value, "bits_per_byte": -value / np.log10(2) / (sizes + 1)})
+        return pd.DataFrame({"doc_id": pd.array([None if i == -(1 << 63) else i for i in ids.tolist()], "Int64"), "held_out": held.astype(bool), "n_tokens": n.astype(np.int64) + 1, "n_known": hit.astype(np.int64) + (ends > 0), "train_tokens": n_train, "base_score": base + end, "score": value, "bits_per_byte": -value / np.log10(2) / (sizes + 1)})
 
     return everything.groupBy("batch").applyInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
