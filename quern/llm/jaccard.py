@@ -277,12 +277,18 @@ def compared(pairs: DataFrame, sets: DataFrame, column: str, percent: int) -> Da
     return own.select("x", "p", "s", "t", "more").mapInArrow(run, "x long, p long, d double, near boolean, more boolean")
 
 
-def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
     """(x, p, d, near, more): whether each pair is a link; d is exact for links, else a lower bound, which
-    is all that the triangle inequality is used with."""
+    is all that the triangle inequality is used with. And the stored tables that it is read from.
+
+    The sets of the pairs that the short forms leave are picked first, as both joins move what they read."""
     bounds = stored(compared(pairs, sets, "f", percent), "bounds")
     release(pairs.sparkSession)
-    return compared(bounds.where("near"), sets, "s", percent).unionByName(bounds.where("not near"))
+    near = bounds.where("near")
+    wanted = near.select(F.explode(F.array("x", "p")).alias("v")).distinct()
+    some = stored(sets.select("v", "s").join(wanted, "v", "left_semi"), "near-sets")
+    release(pairs.sparkSession)
+    return compared(near, some, "s", percent).unionByName(bounds.where("not near")), [bounds, some]
 
 
 def joined_region(names: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -368,8 +374,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, id_col:
     one = known.where("doc_id is not null").groupBy("v").agg(F.min("doc_id").alias("doc_id"))
     sets = stored(sets_of(rows, one.join(needs, "v", "left_semi"), width), "sets")
     release(rows.sparkSession)
-    found = stored(measured(pairs.where(could), sets, percent).unionByName(apart), "distances")
-    release(rows.sparkSession, pairs)
+    told, read = measured(pairs.where(could), sets, percent)
+    found = stored(told.unionByName(apart), "distances")
+    release(rows.sparkSession, pairs, *read)
     links = found.where("near").select(F.col("x").alias("a"), F.col("p").alias("b")).unionByName(regions(found, sets, percent))
     labels = components(links)
     # The least id of each vertex, then of each component; vertices without links are their own.
