@@ -291,6 +291,22 @@ def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame
     return compared(near, some, "s", percent).unionByName(bounds.where("not near")), [bounds, some]
 
 
+def forest(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Links that join the same components, each to its least member: fewer than there are members."""
+    root: dict[int, int] = {}
+
+    def top(v: int) -> int:
+        while (up := root.setdefault(v, v)) != v:
+            root[v] = root[up]
+            v = root[v]
+        return v
+
+    for a, b in links:
+        a, b = top(a), top(b)
+        root[max(a, b)] = min(a, b)
+    return [(top(v), v) for v in list(root) if top(v) != v]
+
+
 def joined_region(names: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that connect what the links of the region connect, by recursive pivots.
 
@@ -323,7 +339,7 @@ def joined_region(names: list[int], sets: list[np.ndarray], percent: int) -> lis
                 if max(low.sum(), high.sum()) < 0.8 * len(left):
                     work.append(left[high])
                     left = left[low]
-    return out
+    return forest(out)
 
 
 def regions(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
