@@ -161,6 +161,17 @@ def test_context_trees(docs, none):
     assert lm_scores(none).count() == 0
 
 
+def test_context_trees_see_six_bytes(spark):
+    from quern.llm.ctw import HELD, lm_scores
+
+    # What follows "bcdef" is told by the byte before it alone, six bytes back.
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == HELD][0]
+    rows = [(i, "abcdefg" * 40 + "xbcdefh" * 40) for i in range(100) if zlib.crc32(str(i).encode()) % 5 != HELD] + [(held, "abcdefgxbcdefhabcdefg" * 20)]
+    bits = {r["doc_id"]: r["bits_per_byte"] for r in lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wrong = lm_scores(spark.createDataFrame([*rows[:-1], (held, "abcdefhxbcdefgabcdefh" * 20)], "doc_id long, text string")).where(f"doc_id = {held}").first()["bits_per_byte"]
+    assert wrong > bits[held] + 0.5
+
+
 def test_repeated_spans(spark, docs, none):
     from quern.llm.spans import without_repeats
 
