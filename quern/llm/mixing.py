@@ -1,10 +1,10 @@
 """Soft-membership mixing of sources to target weights.
 
 A softmax classifier over hashed words, trained from the labelled table, gives each document the
-posterior of each domain. Nonnegative rates, one for each document, are fitted by projected-gradient
-least squares so that the expected tokens of the domains match their targets; each step aggregates
-over all documents. A document's rate depends on its posterior and on the residuals of the steps
-alone, so that a step carries no state but those few numbers.
+posterior of each domain. Nonnegative rates, one for each document, are fitted by least squares so that
+the expected tokens of the domains match their targets. Where the projected gradient is zero, a rate
+depends on the document's posterior and on one multiplier for each domain alone; these few numbers are
+found by Newton's method on the dual, each step of which aggregates over all documents.
 """
 
 from __future__ import annotations
@@ -99,31 +99,59 @@ def posteriors(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_tokens long, p array<double>")
 
 
-def rate_of(p: Column, residuals: list[list[float]], ridge: float) -> Column:
-    """The rate after the steps whose scaled residuals are given: a projected step for each."""
-    history = F.array(*(F.array(*(F.lit(float(x)) for x in r)) for r in residuals)) if residuals else F.expr("cast(array() as array<array<double>>)")
-    push = lambda r: F.aggregate(F.zip_with(p, r, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(history, F.lit(1.0), lambda rate, r: F.greatest(F.lit(0.0), rate - 0.8 * (push(r) + ridge * (rate - 1))))
+def rate_of(p: Column, multipliers: list[float], ridge: float) -> Column:
+    """The rate at which the projected gradient is zero, given the multiplier of each domain."""
+    push = sum((F.get(p, F.lit(k)) * float(x) for k, x in enumerate(multipliers)), F.lit(0.0))
+    return F.greatest(F.lit(0.0), 1 - push / ridge)
 
 
-def fitted_rates(found: DataFrame, weights: dict[str, float], steps: int = 12, ridge: float = 1e-3) -> list[list[float]]:
-    """The scaled residuals of projected gradient on sum_d (tokens_d - target_d)^2 / tokens_d(at rate 1).
+def fitted_rates(found: DataFrame, weights: dict[str, float], ridge: float = 1e-3, close: float = 1e-6, most: int = 200) -> tuple[list[float], list[float]]:
+    """The multipliers, and the residuals (tokens over target, less 1), of the least of
+    sum_d (tokens_d - target_d)^2 / tokens_d(at rate 1) + ridge * sum tokens * (rate - 1)^2.
 
     Targets are in proportion to the weights, and the first domain keeps its tokens. Rows with the same
-    posterior have the same rate, so the rows that a step reads are first combined by posterior."""
+    posterior have the same rate, so the rows that a step reads are first combined by posterior. It is an
+    error if the gradient is not within `close` of the targets after `most` steps."""
     cells = stored(found.groupBy("p").agg(F.sum("n_tokens").cast("double").alias("t")).where("t > 0"), "cells")
-    sums = lambda rate: np.array([x or 0.0 for x in cells.agg(*(F.sum(F.col("t") * rate * F.get("p", F.lit(k))) for k in range(len(DOMAINS)))).first()])
-    first = sums(F.lit(1.0))
+    n = len(DOMAINS)
+    p = [F.get("p", F.lit(k)) for k in range(n)]
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+
+    def at(multipliers: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Tokens of the domains, the products of posteriors over rows with a rate, and the squares of rates."""
+        rate = rate_of(F.col("p"), multipliers.tolist(), ridge)
+        some = cells.select("p", "t", rate.alias("r")).where("r > 0")
+        got = some.agg(*(F.sum(F.col("t") * F.col("r") * x) for x in p), *(F.sum(F.col("t") * p[i] * p[j]) for i, j in pairs), F.sum(F.col("t") * F.col("r") * F.col("r"))).first()
+        got = [x or 0.0 for x in got]
+        products = np.zeros((n, n))
+        for (i, j), x in zip(pairs, got[n:], strict=False):
+            products[i, j] = products[j, i] = x
+        return np.array(got[:n]), products, got[-1]
+
+    now, x = at(np.zeros(n)), np.zeros(n)
+    first = now[0]
     share = np.array([weights[d] for d in DOMAINS])
     target = share / share[0] * first[0]
     scale = np.maximum(first, 1e-9 * max(first.sum(), 1.0))
-    residuals: list[list[float]] = []
-    for _ in range(steps):
-        now = sums(rate_of(F.col("p"), residuals, ridge))
-        residuals.append([float(x) for x in np.where(first > 0, (now - target) / scale, 0.0)])
-        if max(map(abs, residuals[-1])) < 1e-4:
+    use = np.flatnonzero(first > 0)
+    bound = close * np.maximum(target, 1e-6 * max(first.sum(), 1.0))
+    cost = lambda x, now: 0.5 * (scale * x * x).sum() + target @ x + 0.5 * ridge * now[2]
+    for _ in range(most):
+        gradient = np.where(first > 0, scale * x + target - now[0], 0.0)
+        if (np.abs(gradient) <= bound).all():
             break
-    return residuals
+        step = np.zeros(n)
+        step[use] = np.linalg.solve((np.diag(scale) + now[1] / ridge)[np.ix_(use, use)], -gradient[use])
+        size = 1.0
+        while True:
+            then = at(x + size * step)
+            if cost(x + size * step, then) <= cost(x, now) + 1e-4 * size * (gradient @ step) + 1e-12 * abs(cost(x, now)) or size < 1e-6:
+                break
+            size /= 2
+        x, now = x + size * step, then
+    else:
+        raise RuntimeError(f"the rates did not converge: gradient {gradient.tolist()} for targets {target.tolist()}")
+    return x.tolist(), [float(a / b - 1) if b > 0 else 0.0 for a, b in zip(now[0], target, strict=True)]
 
 
 #: Target token shares of the domains.
@@ -140,7 +168,7 @@ def mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None
     rows = texts(docs)
     learnt = fit(rows, labels)
     found = stored(posteriors(rows, learnt), "posteriors")
-    rate = rate_of(F.col("p"), fitted_rates(found, weights or TARGETS, ridge=ridge) if learnt.any() else [], ridge)
+    rate = rate_of(F.col("p"), fitted_rates(found, weights or TARGETS, ridge=ridge)[0] if learnt.any() else [], ridge)
     out = found.select("doc_id", "n_tokens", *(F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(DOMAINS)), F.round(rate, 6).alias("rate"))
     coin = F.pmod(F.xxhash64("doc_id", F.lit(55)), F.lit(1_000_000)) / 1_000_000
     return out.withColumn("copies", (F.floor("rate") + (coin < F.col("rate") - F.floor("rate")).cast("long")).cast("int"))

@@ -180,3 +180,27 @@ def test_repeated_spans(spark, docs, none):
     got = {r["doc_id"]: r["clean_text"] for r in without_repeats(df).collect()}
     assert got == {1: passage + "First one ends here.", 2: "Second begins so. ", 3: "Nothing here is shared. Not at all."}
     assert without_repeats(docs).count() == len(ROWS) and without_repeats(none).count() == 0
+
+
+@pytest.mark.parametrize("sure", [0.95, 0.999])
+def test_rates_meet_their_targets(spark, sure):
+    from pyspark.sql import functions as F
+
+    from quern.llm.mixing import TARGETS, fitted_rates, rate_of
+
+    rng, ridge = np.random.default_rng(3), 1e-3
+    rows = []
+    for k, n in ((0, 600), (1, 300), (2, 10)):
+        p = np.full((n, 3), 0.0)
+        p[:, k] = np.minimum(1, sure + rng.normal(size=n) * (1 - sure) / 4)
+        p[:, (k + 1) % 3] = 1 - p[:, k]
+        rows += [(100, np.round(x, 3).tolist()) for x in p]
+    found = spark.createDataFrame(rows, "n_tokens long, p array<double>")
+    multipliers, left = fitted_rates(found, TARGETS, ridge)
+    # At 0.95 no rates reach the target of toxic, as each clean text has more of it.
+    assert sure < 0.99 or max(map(abs, left)) < 0.05
+    rate = np.array([r[0] for r in found.select(rate_of(F.col("p"), multipliers, ridge)).collect()])
+    p = np.array([r[1] for r in rows])
+    tokens, first = 100 * rate @ p, 100 * p.sum(0)
+    push = p @ ((tokens - first[0] * np.array([1, 0.01 / 0.97, 0.02 / 0.97])) / first) + ridge * (rate - 1)
+    assert np.abs(np.where(rate > 0, push, np.minimum(push, 0))).max() < 1e-5
