@@ -3,7 +3,8 @@
 A text is cut into sentences; sentences of many words are cut further at words whose hash says so, which
 are the same words wherever a passage stands. Every run of `run` consecutive sentences with enough words
 is hashed. Runs are joined globally by hash; the first occurrence of a run is the one with the least
-(doc_id, place). All sentences that a non-first occurrence covers are removed.
+(doc_id, row, place), where each row of the input has a number of its own. All sentences that a non-first
+occurrence covers are removed.
 
 A batch keeps, for each hash, its first occurrence only for the global join, as its others are not the
 first in any case; so a run that a third of all documents hold sends one row a batch.
@@ -65,54 +66,55 @@ def runs_of(h: np.ndarray, n: np.ndarray, run: int, words: int) -> tuple[np.ndar
     return mixed(x[at]), at
 
 
-FOUND = "bucket int, keys binary, docs binary, places binary"
+FOUND = "bucket int, keys binary, docs binary, rows binary, places binary"
 
 
 def occurrences(rows: DataFrame, run: int, words: int, buckets: int) -> DataFrame:
-    """Bucket -1: (docs, places) of runs that are not the first even in their batch. Other buckets: the
+    """Bucket -1: (rows, places) of runs that are not the first even in their batch. Other buckets: the
     first occurrence of each run in the batch."""
     names = [x.split()[0] for x in FOUND.split(", ")]
 
     def scan(batches):
         for batch in batches:
             ids = [NULL_ID if i is None else i for i in batch.column("doc_id").to_pylist()]
-            keys, docs, places = [], [], []
-            for i, text in zip(ids, batch.column("text").to_pylist(), strict=True):
+            keys, docs, numbers, places = [], [], [], []
+            for i, number, text in zip(ids, batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 _, h, n = sentences(text.encode("utf-8", "surrogatepass"))
                 k, at = runs_of(h, n, run, words)
                 keys.append(k)
                 docs.append(np.full(len(k), i, np.int64))
+                numbers.append(np.full(len(k), number, np.int64))
                 places.append(at)
-            keys, docs, places = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, docs, places))
-            order = np.lexsort((places, docs, keys))
-            keys, docs, places = keys[order].astype(np.uint64), docs[order], places[order].astype(np.int32)
+            keys, docs, numbers, places = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, docs, numbers, places))
+            order = np.lexsort((places, numbers, docs, keys))
+            keys, docs, numbers, places = keys[order].astype(np.uint64), docs[order], numbers[order], places[order].astype(np.int32)
             first = np.r_[True, keys[1:] != keys[:-1]][: len(keys)]
-            out = [(-1, b"", docs[~first].tobytes(), places[~first].tobytes())]
-            out += [(b, k.tobytes(), d.tobytes(), p.tobytes()) for b, k, d, p in dealt(keys[first], buckets, docs[first], places[first])]
+            out = [(-1, b"", b"", numbers[~first].tobytes(), places[~first].tobytes())]
+            out += [(b, *(x.tobytes() for x in c)) for b, *c in dealt(keys[first], buckets, docs[first], numbers[first], places[first])]
             for a in range(0, len(out), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[a : a + 256], strict=True), [pa.int32(), *[pa.binary()] * 3], strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[a : a + 256], strict=True), [pa.int32(), *[pa.binary()] * 4], strict=True)], names)
 
     return rows.mapInArrow(scan, FOUND)
 
 
 def repeats(found: DataFrame) -> DataFrame:
-    """(doc_id, place) of every non-first occurrence."""
+    """(row, place) of every non-first occurrence."""
 
     def later(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         keys = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["keys"]])
-        docs = np.concatenate([np.frombuffer(x, np.int64) for x in rows["docs"]])
+        docs, numbers = (np.concatenate([np.frombuffer(x, np.int64) for x in rows[c]]) for c in ("docs", "rows"))
         places = np.concatenate([np.frombuffer(x, np.int32) for x in rows["places"]])
-        order = np.lexsort((places, docs, keys))
+        order = np.lexsort((places, numbers, docs, keys))
         again = np.r_[False, keys[order][1:] == keys[order][:-1]]
-        return pd.DataFrame({"doc_id": docs[order][again], "place": places[order][again]})
+        return pd.DataFrame({"row": numbers[order][again], "place": places[order][again]})
 
     def local(them):
         for t in them:
-            for d, p in zip(t.column("docs").to_pylist(), t.column("places").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(d, np.int64)), pa.array(np.frombuffer(p, np.int32))], ["doc_id", "place"])
+            for d, p in zip(t.column("rows").to_pylist(), t.column("places").to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(d, np.int64)), pa.array(np.frombuffer(p, np.int32))], ["row", "place"])
 
-    far = found.where("bucket >= 0").groupBy("bucket").applyInPandas(later, "doc_id long, place int")
-    near = found.where("bucket = -1").select("docs", "places").mapInArrow(local, "doc_id long, place int")
+    far = found.where("bucket >= 0").groupBy("bucket").applyInPandas(later, "row long, place int")
+    near = found.where("bucket = -1").select("rows", "places").mapInArrow(local, "row long, place int")
     return near.unionByName(far)
 
 
@@ -121,12 +123,12 @@ def without_repeats(docs: DataFrame, run: int = 3, words: int = 10, id_col: str
     removed stretches of the UTF-8 text, comma-joined), clean_text.
 
     Runs of `run` consecutive sentences with at least `words` words count. Null and empty texts have no
-    sentences and stay empty. Rows that repeat a doc_id are one place: what repeats within or among
-    them beyond the first place goes, and equal rows lose the same. A null doc_id is a place of its own,
-    before all others. An empty table gives an empty result; other columns are left out."""
-    rows = texts(docs, id_col, text_col)
+    sentences and stay empty. Each row is a place of its own, in the order of doc_id, null before all
+    others, then as the table is read; so one of equal rows keeps what the others lose. An empty table gives an empty result; other columns are left out."""
+    # Stored, as a row must have the same number when it is cut.
+    rows = stored(texts(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "rows")
     found = stored(occurrences(rows, run, words, parts_of(rows, 2)), "runs")
-    marks = stored(repeats(found).groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("places")), "repeats")
+    marks = stored(repeats(found).groupBy("row").agg(F.sort_array(F.collect_set("place")).alias("places")), "repeats")
     release(rows.sparkSession, found)
 
     def cut(batches):
@@ -155,6 +157,5 @@ def without_repeats(docs: DataFrame, run: int = 3, words: int = 10, id_col: str
             columns = list(zip(*out, strict=True)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()], strict=True)], ["doc_id", "n_sentences", "n_removed", "removed", "clean_text"])
 
-    keyed = rows.withColumn("k", F.coalesce("doc_id", F.lit(NULL_ID)))
-    joined = keyed.join(marks.withColumnRenamed("doc_id", "k"), "k", "left").select("doc_id", "text", "places")
+    joined = rows.join(marks, "row", "left").select("doc_id", "text", "places")
     return joined.mapInArrow(cut, "doc_id long, n_sentences long, n_removed long, removed string, clean_text string")

@@ -182,6 +182,16 @@ def test_repeated_spans(spark, docs, none):
     assert without_repeats(docs).count() == len(ROWS) and without_repeats(none).count() == 0
 
 
+def test_repeated_spans_keep_a_first_place(spark):
+    from quern.llm.spans import without_repeats
+
+    passage = "Alpha beta gamma delta epsilon. Zeta eta theta iota kappa. Lambda mu nu xi omicron."
+    other = "Not one of these words. Is there a second time. Nor are these here either."
+    rows = [(1, passage), (1, passage), (None, other), (None, other), (None, "Rho sigma tau upsilon phi. Chi psi omega one two. Three four five six seven.")]
+    got = sorted(r["clean_text"] for r in without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(["", "", passage, other, rows[4][1]])
+
+
 @pytest.mark.parametrize("sure", [0.95, 0.999])
 def test_rates_meet_their_targets(spark, sure):
     from pyspark.sql import functions as F
