@@ -17,6 +17,12 @@ SECRETS = [
 ]
 #: Comments and strings that are blanked before identifiers are read, in this order.
 STRIPPED = [r"(?s)/\*.*?\*/", r'(?s)""".*?"""', r"(?s)'''.*?'''", r"(?s)`[^`]*`", r'"[^"\n]*"', r"'[^'\n]*'", r"(?m)#.*$", r"(?m)//.*$"]
+#: Names too common to tell anything (fixed values), lower-cased.
+COMMON = (
+    "main init setup index value result data name type kind node edge item list self none null true false "
+    "config options context state error print input output start close open read write build parse render update "
+    "create delete remove apply format handler builder test"
+).split()
 
 
 def redact(text: Column) -> Column:
@@ -34,6 +40,11 @@ def identifiers(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1))
 
 
+def distinctive(name: Column) -> Column:
+    """C5."""
+    return (F.length(name) >= 4) & ~F.lower(name).isin(*COMMON)
+
+
 def normalize_doc(text: Column, most: int = 200) -> Column:
     """The first paragraph with its spaces collapsed, cut at a word boundary with an ellipsis; null
     if shorter than 3 characters."""

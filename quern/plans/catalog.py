@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import extract
 from quern.functions import text as X
-from quern.operators import facts, gold, graph, render
+from quern.operators import facts, gold, graph, references, render
 from quern.operators import search as S
 from quern.sources import runtime
 
@@ -161,12 +161,33 @@ first AS (SELECT name, min(doc_id) AS target, count(DISTINCT doc_id) AS n FROM t
 SELECT t.doc_id AS source, f.target, count(DISTINCT t.name) AS names FROM tokens t JOIN first f USING (name) WHERE t.doc_id <> f.target GROUP BY t.doc_id, f.target"""
 )
 def cross_refs(spark, d):
-    """Documents tied by identifiers that just two of them hold, from the later to the earlier."""
+    """Documents tied by identifiers that just two of them hold, from the later to the earlier; a small relative of
+    L22, which enrich_references does in full."""
     tokens = facts.table(spark, d, "documents").select("doc_id", F.explode(X.identifiers(F.col("text"))).alias("name")).where((F.length("name") >= 4) & ~F.lower("name").isin(*STOPWORDS)).distinct()
     first = tokens.groupBy("name").agg(F.min("doc_id").alias("target"), F.max("doc_id").alias("source"), F.count("*").alias("n")).where("n = 2")
     return first.groupBy("source", "target").agg(F.count("*").alias("names"))
 
 
+def stripped_sql(text: str) -> str:
+    for p in X.STRIPPED:
+        text = f"regexp_replace({text}, '" + p.replace("'", "''") + "', ' ', 'g')"
+    return text
+
+
+@query(
+    f"""WITH ids AS (SELECT doc_id, regexp_extract_all({stripped_sql("text")}, '([A-Za-z_][A-Za-z0-9_]*)', 1) AS a FROM documents),
+every AS (SELECT doc_id, unnest(a) AS name, generate_subscripts(a, 1) AS pos FROM ids),
+names AS (SELECT doc_id, name, min(pos) AS pos FROM every WHERE length(name) >= 4 AND lower(name) NOT IN ({", ".join(f"'{w}'" for w in X.COMMON)}) GROUP BY doc_id, name),
+defs AS (SELECT name, min(doc_id) AS target FROM (SELECT doc_id, arg_min(name, pos) AS name FROM names GROUP BY doc_id) GROUP BY name HAVING count(*) = 1)
+SELECT source, target, name FROM (SELECT n.doc_id AS source, d.target, n.name, row_number() OVER (PARTITION BY n.doc_id ORDER BY n.pos) AS rk FROM names n JOIN defs d ON d.name = n.name AND d.target <> n.doc_id) WHERE rk <= {references.CAP}"""
+)
+def enrich_references(spark, d):
+    """A document defines its first distinctive identifier, and refers to those of others."""
+    docs = facts.table(spark, d, "documents").select(F.col("doc_id").alias("file"), "text")
+    first = F.get(F.filter(X.identifiers(X.strip_comments(F.col("text"))), X.distinctive), F.lit(0))
+    return references.enrich(docs, docs.select(F.col("file").alias("id"), first.alias("name"), "file").where("name is not null"))
+
+
 @query(
     """WITH defs AS (SELECT p_brand AS file, p_partkey AS start, p_partkey + p_size AS stop FROM part),
 refs AS (SELECT DISTINCT p_brand AS file, l_partkey AS line FROM lineitem JOIN part ON l_partkey = p_partkey)

@@ -1,6 +1,6 @@
 """Gold cases of whole fragments, and references, against exact small cases."""
 
-from quern.operators import gold
+from quern.operators import gold, references
 
 
 def test_gold_cases_match_whole_fragments(spark):
@@ -17,3 +17,13 @@ def test_gold_hits_take_any_number_of_fragments(spark):
     fragments = spark.createDataFrame([(f"t {i} a b c d{i % 7} e",) for i in range(2000)], "fragment string")
     found = gold.hits(docs, fragments)
     assert found.count() == 2000 and found.where("hits <> 1").count() == 0
+
+
+def test_references_have_any_number_of_referrers(spark):
+    defs = spark.createDataFrame([("d1", "loadUser", "a"), ("d2", "twice", "a"), ("d3", "twice", "b"), ("d4", "Render", "b"), ("d5", "quoted", "b"), ("d6", "this", "a")], "id string, name string, file string")
+    files = [(f"f{i}", "x = loadUser(1); twice; Render() # quoted\n'quoted' this") for i in range(5)] + [("a", "loadUser"), ("n", None)]
+    got = {tuple(r) for r in references.enrich(spark.createDataFrame(files, "file string, text string"), defs).collect()}
+    assert got == {(f"f{i}", t, n) for i in range(5) for t, n in (("d1", "loadUser"), ("d6", "this"))}
+    many = spark.createDataFrame([(f"d{i}", f"name{i:03d}", "a") for i in range(80)], "id string, name string, file string")
+    one = spark.createDataFrame([("f", " ".join(f"name{i:03d}" for i in range(79, -1, -1)))], "file string, text string")
+    assert sorted(r["target"] for r in references.enrich(one, many).collect()) == sorted(f"d{i}" for i in range(20, 80))
