@@ -31,5 +31,6 @@ def exact_groups(docs: DataFrame, salts: int = 16, id_col: str = "doc_id", text_
 
 def exact_dedup(docs: DataFrame, salts: int = 16) -> DataFrame:
     """The rows of docs, in all their columns, whose text has no equal with a larger doc_id."""
-    kept = exact_groups(docs, salts).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    kept = exact_groups(docs, salts).where("kept").select(F.col("doc_id").alias("id__"), F.col("text_sha256").alias("sha__")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("id__")) & (F.sha2(F.coalesce("text", F.lit("")), 256) == F.col("sha__"))
+    return docs.join(kept, same, "left_semi").select(*docs.columns)

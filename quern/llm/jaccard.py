@@ -244,16 +244,21 @@ def told_apart(f: np.ndarray) -> np.ndarray:
 
 def sets_of(docs: DataFrame, names: DataFrame, width: int) -> DataFrame:
     """(v, s, f): the shingle set of each vertex of names, whose doc_id is one document that has it, and
-    its short form; twice if that row is there twice, which does no harm."""
+    its short form; twice if that row is there twice, which does no harm. Where that doc_id is null, the
+    set is one of the rows without doc_id, once."""
 
     def run(batches):
         for batch in batches:
             sets = shingle_sets(batch.column("text").to_pylist(), width)
-            right = np.array([digest(s) for s in sets], np.int64) == np.array(batch.column("v").to_pylist(), np.int64)
-            rows = np.flatnonzero(right)
-            yield pa.RecordBatch.from_arrays([batch.column("v").take(pa.array(rows)), pa.array([sets[i].tobytes() for i in rows], pa.binary()), pa.array([short(sets[i]).tobytes() for i in rows], pa.binary())], ["v", "s", "f"])
+            found = np.array([digest(s) for s in sets], np.int64)
+            rows = np.flatnonzero([v is None or v == d for v, d in zip(batch.column("v").to_pylist(), found.tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([pa.array(found[rows]), pa.array([sets[i].tobytes() for i in rows], pa.binary()), pa.array([short(sets[i]).tobytes() for i in rows], pa.binary())], ["v", "s", "f"])
 
-    return docs.join(names, "doc_id").select("v", "text").mapInArrow(run, "v long, s binary, f binary")
+    kind = "v long, s binary, f binary"
+    known = docs.join(names.where("doc_id is not null"), "doc_id").select("v", "text").mapInArrow(run, kind)
+    lone = docs.where("doc_id is null").select("text").distinct().select(F.lit(None).cast("long").alias("v"), "text").mapInArrow(run, kind)
+    lone = lone.join(names.where("doc_id is null").select("v"), "v", "left_semi").groupBy("v").agg(F.first("s").alias("s"), F.first("f").alias("f"))
+    return known.unionByName(lone)
 
 
 def compared(pairs: DataFrame, sets: DataFrame, column: str, percent: int) -> DataFrame:
@@ -387,7 +392,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, id_col:
     could = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
     apart = pairs.where(~could).select("x", "p", (1 - F.least("n", "m") / F.greatest("n", "m")).alias("d"), F.lit(False).alias("near"), "more")
     needs = pairs.where(could | F.col("more")).select(F.explode(F.array("x", "p")).alias("v")).distinct()
-    one = known.where("doc_id is not null").groupBy("v").agg(F.min("doc_id").alias("doc_id"))
+    one = known.groupBy("v").agg(F.min("doc_id").alias("doc_id"))
     sets = stored(sets_of(rows, one.join(needs, "v", "left_semi"), width), "sets")
     release(rows.sparkSession)
     told, read = measured(pairs.where(could), sets, percent)

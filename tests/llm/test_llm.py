@@ -192,6 +192,22 @@ def test_repeated_spans_keep_a_first_place(spark):
     assert got == sorted(["", "", passage, other, rows[4][1]])
 
 
+def test_exact_dedup_keeps_texts_of_null_ids(spark):
+    from quern.llm.dedup import exact_dedup
+
+    df = spark.createDataFrame([(None, "alone"), (None, "shared"), (1, "shared"), (2, "two"), (3, "two"), (2, "else")], "doc_id long, text string")
+    assert {tuple(r) for r in exact_dedup(df).collect()} == {(None, "alone"), (1, "shared"), (3, "two"), (2, "else")}
+
+
+def test_near_duplicates_of_null_ids(spark):
+    from quern.llm.jaccard import near_duplicates
+
+    base = [f"w{i}" for i in range(100)]
+    rows = [(None, " ".join(base)), (None, " ".join(base)), (1, " ".join(["x", *base[1:]])), (2, " ".join([*base[:-1], "y"])), (3, "far from all of these words"), (None, "alone and without any id")]
+    got = {(r["doc_id"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(None, 1), (1, 1), (2, 1), (3, 3), (None, None)}
+
+
 @pytest.mark.parametrize("sure", [0.95, 0.999])
 def test_rates_meet_their_targets(spark, sure):
     from pyspark.sql import functions as F
