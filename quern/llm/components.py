@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.shared import stored
+from quern.llm.shared import release, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,6 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
         lower = labels.join(near, "v").select("v", F.col("label").alias("before"), F.least("label", "least").alias("label"))
         hop = labels.select(F.col("v").alias("label"), F.col("label").alias("further"))
         after = stored(lower.join(hop, "label", "left").select("v", "before", F.least("label", "further").alias("label")), "labels")
-        labels = after.select("v", "label")
+        old, labels = labels, after.select("v", "label")
+        release(edges.sparkSession, old)
         if after.where("label != before").isEmpty():
             return labels

@@ -2,16 +2,19 @@
 
 Jaccard distance is a metric, so pivots and the triangle inequality decide which documents can be near.
 
-1. Vertices are the distinct shingle sets. Each set gives its prefix: in an order of all shingles that
-   puts frequent ones last, so many first shingles that two sets within the distance share one of them.
-   All sets that share a prefix shingle fall to a pivot, the holder with the least hash: the finite part
-   of the pivot's Voronoi region, since sets that share nothing with it are at distance 1. Overlapping
-   regions replicate their boundary sets.
-2. Distances to the pivots are computed exactly. Sets within the distance are linked. The others of a
-   region, and those linked ones that the triangle inequality leaves possible partners of one of them,
-   make up the next region.
-3. A small region is joined in one task by the same rule with further pivots, recursively; a large one
-   is first dealt as pairs of blocks, so that no task holds an unbounded region.
+1. Vertices are the distinct shingle sets, named by 128-bit digests. Each set gives its prefix: in an
+   order of all shingles that puts frequent ones last, so many first shingles that two sets within the
+   distance share one of them. All sets that share a prefix shingle fall to a pivot, the holder with the
+   least hash: the finite part of the pivot's Voronoi region, since sets that share nothing with it are at
+   distance 1. Overlapping regions replicate their boundary sets.
+2. Each vertex has a sketch, the parities of its shingles by hash: two or four bits a shingle, whose Hamming
+   distance is never above the size of the symmetric difference. It gives a lower bound of every distance,
+   and whole sets are read only for what it can't rule out. Sets within the distance of their pivot are its
+   ball, and linked with it.
+3. Of a ball, only the window that the triangle inequality leaves within reach of a set outside meets the
+   region's other sets; members of one ball never meet, as their pivot connects them. A large rest of a
+   region is dealt anew, by further pivots of its own and the windows about them, until what is left is
+   small; then sketches pick the members that may have a partner, and these are joined exactly.
 4. Components of the links are found with every round stored in the shared folder.
 
 A batch sends each shingle once, with the least holder of the batch, so that a shingle that a third of
@@ -34,8 +37,13 @@ from quern.llm.shared import MIX, dealt, grouped, mixed, parts_of, release, stor
 FREQUENT, OFTEN = 1 << 17, 2
 #: Holders of a shingle in a batch beyond which it sends one row and not all.
 HOT = 8
-#: Members of a region that one task joins, and of the blocks of a larger one.
-LEAF = 512
+#: Members of a region that one task joins exactly, or compares by sketches; beyond the latter, a region's
+#: rest is dealt anew by about PIVOTS further pivots a round, as long as that makes it smaller.
+LEAF, WIDE, PIVOTS = 512, 2048, 32
+#: Members up to which a region shares a task's group with others, for speed.
+SMALL = 64
+#: Vertices whose texts are picked by a broadcast of their ids (24 bytes each); more are picked by a shuffled join.
+FEW = 1 << 20
 NULL_ID = -(1 << 63)
 ROWS = 8192
 
@@ -61,12 +69,42 @@ def shingle_sets(values: list[str], width: int = 5) -> list[np.ndarray]:
     return out
 
 
-def digest(s: np.ndarray) -> int:
-    """The vertex of a set: a signed 64-bit hash of its shingles."""
+def digest(s: np.ndarray) -> bytes:
+    """The vertex of a set: a 128-bit hash of its shingles."""
     import xxhash
 
-    v = xxhash.xxh3_64_intdigest(s.tobytes())
-    return v - (1 << 64) if v >> 63 else v
+    return xxhash.xxh3_128_digest(s.tobytes())
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """The parities of the set's shingles by their low bits: a power of two of bits, two for each shingle at least."""
+    bits = max(64, 1 << (2 * len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def unlike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of the rows of a from those of b: at most the sizes of the symmetric differences."""
+    out = np.zeros((len(a), len(b)), np.int64)
+    for k in range(a.shape[1]):
+        out += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
+    return out
+
+
+def folded(rows: np.ndarray) -> np.ndarray:
+    """Sketches of half the length: the same as if they had been made so."""
+    half = rows.shape[1] // 2
+    return rows[:, :half] ^ rows[:, half:]
+
+
+def may_link(a: bytes, b: bytes, n: int, m: int, percent: int) -> tuple[float, bool]:
+    """A lower bound of the distance of two sets by their sketches and sizes, and whether they may link."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    common = min(n, m, (n + m - int(np.bitwise_count(x ^ y).sum())) // 2)
+    return distance(common, n, m), bool(linked(common, n, m, percent))
 
 
 def needed(n, percent: int):
@@ -119,8 +157,8 @@ BATCHES = "batch long, bucket int, keys binary, low binary, sizes binary, docs b
 
 
 def scanned(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
-    """For each batch of at most ROWS documents: in bucket -1 all of them (keys: vertices, sizes: set
-    sizes, docs: ids), and in each other bucket its prefix shingles with their holders' size class (48 and
+    """For each batch of at most ROWS documents: in bucket -1 all of them (keys: vertices, low: sketches of
+    the distinct ones, sizes: set sizes, docs: ids), and in each other bucket its prefix shingles with their holders' size class (48 and
     8 bits, in keys and low), their numbers of holders (sizes) and the holders (docs, as places in the batch; of a hot shingle the
     least alone, and all of them in the hot columns)."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, width))  # FREQUENT entries at most
@@ -129,11 +167,14 @@ def scanned(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFram
 
     def rows_of(number: int, ids: list, values: list[str]):
         sets = shingle_sets(values, width)
-        vertices = np.array([digest(s) for s in sets], np.int64)
+        vertices = [digest(s) for s in sets]
         sizes = np.array([len(s) for s in sets], np.int64)
-        yield (number, -1, vertices.tobytes(), b"", sizes.tobytes(), np.array([NULL_ID if i is None else i for i in ids], np.int64).tobytes(), b"", b"", b"")
-        _, one = np.unique(vertices, return_index=True)
-        one = one[sizes[one] > 0]
+        first: dict[bytes, int] = {}
+        for i, v in enumerate(vertices):
+            first.setdefault(v, i)
+        one = np.array([i for i in first.values() if sizes[i]], np.int64)
+        drawn = {vertices[i]: sketch(sets[i]) for i in one.tolist()}  # of copies in a batch only the first carries the sketch
+        yield (number, -1, b"".join(vertices), b"".join(drawn.pop(v, b"") for v in vertices), sizes.tobytes(), np.array([NULL_ID if i is None else i for i in ids], np.int64).tobytes(), b"", b"", b"")
         if not len(one):
             return
         cuts = [prefix(sets[i], *shared.value, percent) for i in one.tolist()]
@@ -230,77 +271,60 @@ def members(batches: DataFrame, known: DataFrame) -> DataFrame:
     return named.where("vx != vp").groupBy(F.col("vx").alias("x"), F.col("vp").alias("p")).agg(F.max("n").alias("n"), F.max("m").alias("m"), F.max("more").alias("more"))
 
 
-def short(s: np.ndarray) -> np.ndarray:
-    """16 bits of each hash, sorted: their common elements, with repeats, are at least those of the sets."""
-    return np.sort(s.astype("<u2"))
-
-
-def told_apart(f: np.ndarray) -> np.ndarray:
-    """Distinct values for the elements of a sorted array with repeats: the value and its count so far."""
-    at = np.arange(len(f))
-    first = np.maximum.accumulate(np.where(np.r_[True, f[1:] != f[:-1]][: len(f)], at, 0))
-    return (f.astype(np.int64) << 32) + at - first
-
-
 def sets_of(docs: DataFrame, names: DataFrame, width: int) -> DataFrame:
-    """(v, s, f): the shingle set of each vertex of names, whose doc_id is one document that has it, and
-    its short form; twice if that row is there twice, which does no harm. Where that doc_id is null, the
-    set is one of the rows without doc_id, once."""
+    """(v, s): the shingle set of each vertex of names, whose doc_id is one document that has it; twice if
+    that row is there twice, which does no harm. Where that doc_id is null, the set is one of the rows
+    without doc_id, once."""
 
     def run(batches):
         for batch in batches:
             sets = shingle_sets(batch.column("text").to_pylist(), width)
-            found = np.array([digest(s) for s in sets], np.int64)
-            rows = np.flatnonzero([v is None or v == d for v, d in zip(batch.column("v").to_pylist(), found.tolist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([pa.array(found[rows]), pa.array([sets[i].tobytes() for i in rows], pa.binary()), pa.array([short(sets[i]).tobytes() for i in rows], pa.binary())], ["v", "s", "f"])
-
-    kind = "v long, s binary, f binary"
-    known = docs.join(names.where("doc_id is not null"), "doc_id").select("v", "text").mapInArrow(run, kind)
-    lone = docs.where("doc_id is null").select("text").distinct().select(F.lit(None).cast("long").alias("v"), "text").mapInArrow(run, kind)
-    lone = lone.join(names.where("doc_id is null").select("v"), "v", "left_semi").groupBy("v").agg(F.first("s").alias("s"), F.first("f").alias("f"))
+            found = [digest(s) for s in sets]
+            rows = [i for i, (v, d) in enumerate(zip(batch.column("v").to_pylist(), found, strict=True)) if v is None or v == d]
+            yield pa.RecordBatch.from_arrays([pa.array([found[i] for i in rows], pa.binary()), pa.array([sets[i].tobytes() for i in rows], pa.binary())], ["v", "s"])
+
+    kind = "v binary, s binary"
+    small = F.broadcast if names.count() <= FEW else lambda df: df
+    known = docs.join(small(names.where("doc_id is not null")), "doc_id").select("v", "text").mapInArrow(run, kind)
+    lone = docs.where("doc_id is null").select("text").distinct().select(F.lit(None).cast("binary").alias("v"), "text").mapInArrow(run, kind)
+    lone = lone.join(small(names.where("doc_id is null").select("v")), "v", "left_semi").dropDuplicates(["v"])
     return known.unionByName(lone)
 
 
-def compared(pairs: DataFrame, sets: DataFrame, column: str, percent: int) -> DataFrame:
-    """(x, p, d, near, more) for the pairs, by the sets (column s), which is exact, or by their short forms
-    (column f), which gives a lower bound of the distance."""
+def bounded(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(x, p, d, may, more): a lower bound of the distance of each pair, by sketches, and whether it may link."""
+
+    def run(batches):
+        for b in batches:
+            got = [may_link(*r, percent) for r in zip(*(b.column(c).to_pylist() for c in ("s", "t", "n", "m")), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("x"), b.column("p"), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.bool_()), b.column("more")], ["x", "p", "d", "may", "more"])
+
+    own = pairs.join(sketches.select(F.col("v").alias("x"), F.col("k").alias("s")), "x").join(sketches.select(F.col("v").alias("p"), F.col("k").alias("t")), "p")
+    return own.select("x", "p", "s", "t", "n", "m", "more").mapInArrow(run, "x binary, p binary, d double, may boolean, more boolean")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(x, p, d, near) for the pairs (x, p), by the whole sets."""
 
     def run(batches):
         for b in batches:
             d, near = [], []
             for s, t in zip(b.column("s").to_pylist(), b.column("t").to_pylist(), strict=True):
-                if column == "s":
-                    s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-                else:
-                    s, t = told_apart(np.frombuffer(s, "<u2")), told_apart(np.frombuffer(t, "<u2"))
+                s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
                 common = len(np.intersect1d(s, t, assume_unique=True))
                 d.append(distance(common, len(s), len(t)))
                 near.append(bool(linked(common, len(s), len(t), percent)))
-            yield pa.RecordBatch.from_arrays([b.column("x"), b.column("p"), pa.array(d, pa.float64()), pa.array(near, pa.bool_()), b.column("more")], ["x", "p", "d", "near", "more"])
-
-    own = pairs.join(sets.select(F.col("v").alias("x"), F.col(column).alias("s")), "x").join(sets.select(F.col("v").alias("p"), F.col(column).alias("t")), "p")
-    return own.select("x", "p", "s", "t", "more").mapInArrow(run, "x long, p long, d double, near boolean, more boolean")
-
+            yield pa.RecordBatch.from_arrays([b.column("x"), b.column("p"), pa.array(d, pa.float64()), pa.array(near, pa.bool_())], ["x", "p", "d", "near"])
 
-def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(x, p, d, near, more): whether each pair is a link; d is exact for links, else a lower bound, which
-    is all that the triangle inequality is used with. And the stored tables that it is read from.
+    own = pairs.select("x", "p").join(sets.select(F.col("v").alias("x"), "s"), "x").join(sets.select(F.col("v").alias("p"), F.col("s").alias("t")), "p")
+    return own.select("x", "p", "s", "t").mapInArrow(run, "x binary, p binary, d double, near boolean")
 
-    The sets of the pairs that the short forms leave are picked first, as both joins move what they read."""
-    bounds = stored(compared(pairs, sets, "f", percent), "bounds")
-    release(pairs.sparkSession)
-    near = bounds.where("near")
-    wanted = near.select(F.explode(F.array("x", "p")).alias("v")).distinct()
-    some = stored(sets.select("v", "s").join(wanted, "v", "left_semi"), "near-sets")
-    release(pairs.sparkSession)
-    return compared(near, some, "s", percent).unionByName(bounds.where("not near")), [bounds, some]
 
-
-def forest(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def forest(links: list[tuple]) -> list[tuple]:
     """Links that join the same components, each to its least member: fewer than there are members."""
-    root: dict[int, int] = {}
+    root: dict = {}
 
-    def top(v: int) -> int:
+    def top(v):
         while (up := root.setdefault(v, v)) != v:
             root[v] = root[up]
             v = root[v]
@@ -312,21 +336,23 @@ def forest(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(top(v), v) for v in list(root) if top(v) != v]
 
 
-def joined_region(names: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect what the links of the region connect, by recursive pivots.
+def joined_region(names: list, sets: list[np.ndarray], percent: int, core: np.ndarray | None = None) -> list[tuple]:
+    """Links that connect what the links of the region connect, by recursive pivots; those between two
+    members of the core are left out.
 
     A pivot is linked with all its partners and leaves. A partner also leaves when no other member is
     within reach of it by the triangle inequality. The rest splits at its median distance, with those
     within the join's distance beyond it on both sides, as long as both sides get smaller."""
     eps, out = 1 - percent / 100, []
+    core = np.zeros(len(sets), bool) if core is None else core
     sizes = np.array([len(s) for s in sets])
     ends = np.r_[0, np.cumsum(sizes)]
     universe, flat = np.unique(np.concatenate(sets), return_inverse=True)
     mark = np.zeros(len(universe), bool)
-    work = [np.arange(len(sets))]
+    work = [np.argsort(core, kind="stable")]
     while work:
         left = work.pop()
-        while len(left) > 1:
+        while len(left) > 1 and not core[left[0]]:
             p, left = left[0], left[1:]
             mark[flat[ends[p] : ends[p + 1]]] = True
             spread = np.concatenate([flat[ends[i] : ends[i + 1]] for i in left])
@@ -347,26 +373,141 @@ def joined_region(names: list[int], sets: list[np.ndarray], percent: int) -> lis
     return forest(out)
 
 
-def regions(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among what the first pivots leave."""
+def partnered(ks: list[bytes], sizes: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Which members may link with another, of the pairs of a left and a right one, by sketches."""
+    active = np.zeros(len(ks), bool)
+    length = np.array([len(k) for k in ks])
+    rows = {b: np.frombuffer(b"".join(ks[i] for i in np.flatnonzero(length == b)), np.uint64).reshape(-1, b // 8) for b in np.unique(length).tolist()}
+    at = {b: np.flatnonzero(length == b) for b in rows}
+
+    def meet(i, a, j, b) -> None:
+        if not len(i) or not len(j):
+            return
+        step = max(1, (1 << 21) // len(j))
+        for k in range(0, len(i), step):
+            s = slice(k, k + step)
+            n, m = sizes[i[s], None], sizes[None, j]
+            common = np.minimum(np.minimum(n, m), (n + m - unlike(a[s], b)) // 2)
+            found = linked(common, n, m, percent) & (i[s, None] != j[None, :])
+            active[i[s]] |= found.any(1)
+            active[j] |= found.any(0)
+
+    for b, own in rows.items():
+        # Sizes of sets that link differ by less than two, so the lengths of their sketches by two at most.
+        meet(at[b][left[at[b]]], own[left[at[b]]], at[b][right[at[b]]], own[right[at[b]]])
+        if 2 * b in rows:
+            small = folded(rows[2 * b])
+            for i, x, j, y in ((at[b], own, at[2 * b], small), (at[2 * b], small, at[b], own)):
+                meet(i[left[i]], x[left[i]], j[right[j]], y[right[j]])
+    return active
+
+
+def blocked(work: DataFrame, leaf: int) -> DataFrame:
+    """(t, g, cell, i, j, x, a, b): the members x of each region g in blocks, so that each member of the rest
+    (a) meets all others (b), or in a cell those of its core, and no group (t, i, j) holds over about
+    2 * leaf members of a region. Members of a core never meet, so regions with a small rest are dealt in
+    proportion to their size. Regions of up to SMALL members share groups of about `leaf` members."""
+    counts = work.groupBy("g", "cell").agg(F.count_if(~F.col("core")).alias("r"), F.count("*").alias("n"))
+    counts = counts.where("r > 0 and n > 1").select("g", "cell", "n", F.ceil(F.col("r") / leaf).cast("int").alias("ra"), F.ceil(F.col("n") / leaf).cast("int").alias("rb"))
+    packs = max(1, -(-work.count() // leaf))
+    t = F.xxhash64("g", "cell")
+    placed = work.join(counts.withColumn("t", F.when(F.col("n") <= SMALL, F.pmod(t, F.lit(packs))).otherwise(t)), ["g", "cell"])
+    one = placed.where("ra = 1 and rb = 1").select("t", "g", "cell", F.lit(0).alias("i"), F.lit(0).alias("j"), "x", (~F.col("core")).alias("a"), (F.col("core") | ~F.col("cell")).alias("b"))
+    many = placed.where("ra > 1 or rb > 1")
+    own = lambda n: F.pmod(F.xxhash64("x", F.lit(3)), F.col(n)).cast("int")
+    span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    first = many.where(~F.col("core")).select("t", "g", "cell", own("ra").alias("i"), span("rb").alias("j"), "x", F.lit(True).alias("a"), F.lit(False).alias("b"))
+    second = many.where(F.col("core") | ~F.col("cell")).select("t", "g", "cell", span("ra").alias("i"), own("rb").alias("j"), "x", F.lit(False).alias("a"), F.lit(True).alias("b"))
+    return one.unionByName(first).unionByName(second)
+
+
+def active(work: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The rows of work that may have a partner in their region, by sketches."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        ks, n, a, b = rows["k"].to_numpy(), rows["n"].to_numpy(), rows["a"].to_numpy(bool), rows["b"].to_numpy(bool)
+        hit = np.zeros(len(rows), bool)
+        for at in rows.groupby(["g", "cell"]).indices.values():
+            hit[at] = partnered(ks[at].tolist(), n[at], a[at], b[at], percent)
+        return rows.loc[hit, ["g", "cell", "x"]]
+
+    placed = blocked(work, WIDE).join(sketches.select(F.col("v").alias("x"), "k", "n"), "x")
+    hit = placed.groupBy("t", "i", "j").applyInPandas(run, "g binary, cell boolean, x binary").distinct()
+    return work.join(hit, ["g", "cell", "x"], "left_semi")
+
+
+def redealt(work: DataFrame, sketches: DataFrame, sets, percent: int) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
+    """Rounds of further pivots for the regions with a large rest: (work, links, tables to release).
+
+    About PIVOTS members of each large rest become pivots, by a hash of the round. Members that a pivot
+    links with are its ball and leave the rest. The window of the ball, all members of the region that are
+    within twice the join's distance of the pivot without being in its ball, meets the ball in a cell of
+    its own, so nothing that leaves misses a partner. A round that makes no rest smaller by a tenth ends this."""
+    eps, links, cells, old = 1 - percent / 100, None, None, []
+    for turn in range(16):
+        sizes = work.groupBy("g").agg(F.count_if(~F.col("core")).alias("r")).where(F.col("r") > WIDE)
+        before = sizes.agg(F.sum("r")).first()[0]
+        if not before:
+            break
+        chance = F.pmod(F.xxhash64("x", F.lit(turn + 11)), F.lit(1 << 30)) / float(1 << 30)
+        several = stored(work.join(sizes, "g").join(sketches.select(F.col("v").alias("x"), "k", "n"), "x").select("g", "x", "core", "k", "n", "r", F.lit(0).alias("z")), "large")
+        chosen = several.where(~F.col("core") & (chance * F.col("r") < PIVOTS))
+        blocks = F.ceil(F.col("r") / WIDE).cast("int")
+        # Blocks of members in proportion to the rest; every block of a region gets the region's pivots.
+        dealt_out = several.withColumn("z", F.pmod(F.xxhash64("x"), blocks).cast("int")).withColumn("q", F.lit(False))
+        told = chosen.withColumn("z", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("q", F.lit(True))
+
+        def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            members, some = rows[~rows["q"]], rows[rows["q"]]
+            for x, k, n in zip(members["x"], members["k"], members["n"], strict=True):
+                for q, l, m in zip(some["x"], some["k"], some["n"], strict=True):
+                    if x != q:
+                        d, may = may_link(k, l, n, m, percent)
+                        if d <= 2 * eps + 1e-9:
+                            out.append((key[0], x, q, d, may))
+            return pd.DataFrame(out, columns=["g", "x", "q", "d", "may"])
+
+        met = stored(dealt_out.unionByName(told).groupBy("g", "z").applyInPandas(run, "g binary, x binary, q binary, d double, may boolean"), "met")
+        near = stored(verified(met.where("may").select("x", F.col("q").alias("p")).distinct(), sets(met.where("may").select(F.explode(F.array("x", "q")).alias("v"))), percent).where("near"), "balls")
+        new = near.select(F.col("x").alias("a"), F.col("p").alias("b"))
+        links = new if links is None else links.unionByName(new)
+        ball = near.select("x", F.col("p").alias("q"), F.lit(True).alias("core"))
+        around = met.select("x", "q").distinct().join(ball, ["x", "q"], "left").select(F.col("q").alias("g"), "x", F.coalesce("core", F.lit(False)).alias("core"), F.lit(True).alias("cell"))
+        cells = around if cells is None else cells.unionByName(around)
+        gone = met.select("g", "x", "q").join(ball, ["x", "q"]).select("g", "x").unionByName(chosen.select("g", "x")).distinct()
+        work = stored(work.join(gone.withColumn("left", F.lit(True)), ["g", "x"], "left").where("core or left is null").select("g", "x", "core", "cell"), "work")
+        old += [several, met, near, work]
+        after = work.groupBy("g").agg(F.count_if(~F.col("core")).alias("r")).join(sizes.select("g"), "g", "left_semi").agg(F.sum("r")).first()[0] or 0
+        if after > 0.9 * before:
+            break
+    return (work if cells is None else work.unionByName(cells)), links, old
+
+
+def regions(found: DataFrame, sketches: DataFrame, sets, percent: int) -> DataFrame:
+    """Links (a, b) among what the first pivots leave; sets(names) gives the whole sets of vertices."""
     eps = 1 - percent / 100
     # A shingle that only a set and its pivot hold brings no third set to meet.
     found = found.where("more")
     rings = found.groupBy("p").agg(F.min(F.when(~F.col("near"), F.col("d"))).alias("least")).where("least is not null")
-    rest = found.join(rings, "p").where(~F.col("near") | (F.col("d") >= F.col("least") - eps - 1e-9)).select("p", "x")
-    rest = stored(rest, "rest")
-    counts = rest.groupBy("p").count().where("count > 1").select("p", F.ceil(F.col("count") / F.lit(LEAF)).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("x", F.lit(3)), F.col("blocks")).cast("int")
-    placed = rest.join(counts, "p").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("p", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "x")
-    # Of a region of two blocks or more, a block meets itself in each of its pairs: no group of its own.
-    placed = placed.where("i < j").unionByName(rest.join(counts.where("blocks = 1"), "p").select("p", F.lit(0).alias("i"), F.lit(0).alias("j"), "x"))
+    rest = found.join(rings, "p").where(~F.col("near") | (F.col("d") >= F.col("least") - eps - 1e-9))
+    work = stored(rest.select(F.col("p").alias("g"), "x", F.col("near").alias("core"), F.lit(False).alias("cell")), "rest")
+    work, links, old = redealt(work, sketches, sets, percent)
+    left = stored(active(work, sketches, percent), "active")
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        links = joined_region(rows["x"].tolist(), [np.frombuffer(s, np.uint64) for s in rows["s"]], percent) if len(rows) > 1 else []
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+        got = []
+        for _, own in rows.sort_values("a", ascending=False).groupby(["g", "cell"]):
+            own = own.drop_duplicates("x")  # a member of the rest may meet its own block
+            if len(own) > 1:
+                got += joined_region(own["x"].tolist(), [np.frombuffer(s, np.uint64) for s in own["s"]], percent, ~own["a"].to_numpy(bool))
+        return pd.DataFrame(got, columns=["a", "b"])
 
-    return placed.join(sets.select(F.col("v").alias("x"), "s"), "x").groupBy("p", "i", "j").applyInPandas(run, "a long, b long")
+    whole = sets(left.select(F.col("x").alias("v")))
+    exact = stored(blocked(left, LEAF).join(whole.select(F.col("v").alias("x"), "s"), "x").groupBy("t", "i", "j").applyInPandas(run, "a binary, b binary"), "links")
+    exact = exact if links is None else exact.unionByName(stored(links, "links"))
+    release(found.sparkSession, left, whole, *old)
+    return exact
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -377,29 +518,45 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, id_col:
     nothing. A null doc_id is never a component's id unless all are null. Rows that repeat a doc_id get
     a row each, with its own text's links. An empty table gives an empty result; other columns are left out."""
     rows = texts(docs, id_col, text_col)
+    spark = rows.sparkSession
     batches = stored(scanned(rows, width, percent, parts_of(rows, 2)), "shingles")
 
     def unpack(them):
         for t in them:
-            for number, v, n, i in zip(*(t.column(c).to_pylist() for c in ("batch", "keys", "sizes", "docs")), strict=True):
-                ids = np.frombuffer(i, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == NULL_ID), pa.array((number << 16) + np.arange(len(ids))), pa.array(np.frombuffer(v, np.int64)), pa.array(np.frombuffer(n, np.int64))], ["doc_id", "h", "v", "n_shingles"])
-
-    known = stored(batches.where("bucket = -1").select("batch", "keys", "sizes", "docs").mapInArrow(unpack, "doc_id long, h long, v long, n_shingles long"), "vertices")
+            for number, v, drawn, n, i in zip(*(t.column(c).to_pylist() for c in ("batch", "keys", "low", "sizes", "docs")), strict=True):
+                ids, n = np.frombuffer(i, np.int64), np.frombuffer(n, np.int64)
+                names, ks, at = [v[j : j + 16] for j in range(0, len(v), 16)], [], 0
+                seen = set()
+                for name, size in zip(names, n.tolist(), strict=True):
+                    step = 0 if name in seen or not size else max(64, 1 << (2 * size - 1).bit_length()) // 8
+                    ks.append(drawn[at : at + step] if step else None)
+                    at += step
+                    seen.add(name)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == NULL_ID), pa.array((number << 16) + np.arange(len(ids))), pa.array(names, pa.binary()), pa.array(n), pa.array(ks, pa.binary())], ["doc_id", "h", "v", "n_shingles", "k"])
+
+    known = stored(batches.where("bucket = -1").select("batch", "keys", "low", "sizes", "docs").mapInArrow(unpack, "doc_id long, h long, v binary, n_shingles long, k binary"), "vertices")
     pairs = stored(members(batches, known), "pairs")
-    release(rows.sparkSession, batches)
+    release(spark, batches)
     # Sets of too different sizes are at least 1 - n / m apart, which is all that is needed of them.
     could = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
     apart = pairs.where(~could).select("x", "p", (1 - F.least("n", "m") / F.greatest("n", "m")).alias("d"), F.lit(False).alias("near"), "more")
     needs = pairs.where(could | F.col("more")).select(F.explode(F.array("x", "p")).alias("v")).distinct()
+    sketches = stored(known.where("k is not null").join(needs, "v", "left_semi").select("v", "k", F.col("n_shingles").alias("n")).dropDuplicates(["v"]), "sketches")
     one = known.groupBy("v").agg(F.min("doc_id").alias("doc_id"))
-    sets = stored(sets_of(rows, one.join(needs, "v", "left_semi"), width), "sets")
-    release(rows.sparkSession)
-    told, read = measured(pairs.where(could), sets, percent)
-    found = stored(told.unionByName(apart), "distances")
-    release(rows.sparkSession, pairs, *read)
-    links = found.where("near").select(F.col("x").alias("a"), F.col("p").alias("b")).unionByName(regions(found, sets, percent))
+    bounds = stored(bounded(pairs.where(could), sketches, percent), "bounds")
+    release(spark)
+
+    def sets(names: DataFrame) -> DataFrame:
+        return stored(sets_of(rows, stored(one.join(names.distinct(), "v", "left_semi"), "names"), width), "sets")
+
+    may = bounds.where("may")
+    whole = sets(may.select(F.explode(F.array("x", "p")).alias("v")))
+    told = verified(may, whole, percent).join(may.select("x", "p", "more"), ["x", "p"]).select("x", "p", "d", "near", "more")
+    found = stored(told.unionByName(bounds.where("not may").select("x", "p", "d", F.lit(False).alias("near"), "more")).unionByName(apart), "distances")
+    release(spark, pairs, bounds, whole)
+    links = found.where("near").select(F.col("x").alias("a"), F.col("p").alias("b")).unionByName(regions(found, sketches, sets, percent))
     labels = components(links)
+    release(spark, found, sketches)
     # The least id of each vertex, then of each component; vertices without links are their own.
     least = known.where("n_shingles > 0").groupBy("v").agg(F.min("doc_id").alias("least"))
     named = stored(least.join(labels, "v", "left").select("v", F.coalesce("label", "v").alias("label"), "least"), "named")
