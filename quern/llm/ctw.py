@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quern.llm.shared import _LOWER, fold, grouped, parts_of, release, stored, texts, word_hashes
 
 #: Bytes of context, and bytes of text of a batch.
-DEPTH, BATCH = 6, 8 << 20
+DEPTH, BATCH = 6, 16 << 20
 #: Buckets of words and of runs are told apart by sign.
 ROWS = "batch long, bucket int, keys binary, counts binary"
 HELD = 1
@@ -201,7 +201,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     rows = texts(docs, id_col, text_col).select("doc_id", (fold(F.col("doc_id"), 5) == HELD).alias("held_out"), "text")
     buckets = parts_of(rows, 8)
     table = stored(scanned(rows, buckets), "batches")
-    runs, words, whole = table.where("bucket > 0"), table.where("bucket < 0"), table.where("bucket = 0")
+    runs, words = table.where("bucket > 0"), table.where("bucket < 0")
 
     def top(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         """What is above depth 2: counts of (byte before, byte), and what depth 2 says of each decision."""
@@ -251,7 +251,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     ends = rows.where(~F.col("held_out")).count()  # each training text has one end
     n_train, distinct = int(told[0] or 0) + ends, int(told[1] or 0) + (ends > 0)
     reply = "batch long, bucket int, values binary"
-    answers = runs.groupBy("bucket").applyInPandas(priced, reply).unionByName(words.groupBy("bucket").applyInPandas(known, reply))
+    answers = stored(runs.groupBy("bucket").applyInPandas(priced, reply).unionByName(words.groupBy("bucket").applyInPandas(known, reply)), "answers")
+    whole = stored(table.where("bucket = 0"), "texts")
+    release(rows.sparkSession, table)  # the keys are done with before answers and texts move to their batches
     # A batch finds its distinct keys again from its texts, in the same order, so no key travels back.
     everything = answers.select("batch", "bucket", F.col("values").alias("a"), F.lit(None).cast("binary").alias("b")).unionByName(whole.select("batch", "bucket", F.col("keys").alias("a"), F.col("counts").alias("b")))
 
