@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by largest inner product, on robust-pruned directed graphs.
 
-Distinct vectors are dealt to shards by their hash. A shard's vectors get one more coordinate, so that
+Distinct vectors are dealt to shards by their length and hash. A shard's vectors get one more coordinate, so that
 all are equally long and the largest inner product is the least distance. Its graph grows in batches:
 greedy beam searches from the entry propose neighbours, and relaxed distance pruning keeps the near and
 diverse ones; reverse edges are added and pruned alike. Queries, in blocks, search every shard's graph
@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 from quern.llm.shared import stored
 
 #: Vectors of a shard, out-degree, width of the build's and of the query's beam, pruning factor, queries of a block.
-SHARD, DEGREE, BUILD, BEAM, ALPHA, BLOCK = 4096, 32, 80, 192, 1.2, 1024
+SHARD, DEGREE, BUILD, BEAM, ALPHA, BLOCK = 8192, 32, 80, 64, 1.2, 1024
 
 
-def beam_search(x: np.ndarray, graph: np.ndarray, q: np.ndarray, entry: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each query the `width` nearest nodes found (-1 if fewer) and their squared distances."""
+def beam_search(x: np.ndarray, graph: np.ndarray, q: np.ndarray, entry: int, width: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """For each query the `width` nearest nodes found (-1 if fewer) and their squared distances; and how many
+    distances to nodes were taken for all of them."""
     n, m = len(x), len(q)
     norm = (x * x).sum(1)
     ids, d = np.full((m, width), -1), np.full((m, width), np.inf, np.float32)
@@ -51,7 +52,7 @@ def beam_search(x: np.ndarray, graph: np.ndarray, q: np.ndarray, entry: int, wid
         ids[live] = np.concatenate([ids[live], np.where(fresh, near, -1)], 1)[rows, top]
         done[live] = np.concatenate([done[live], ~fresh], 1)[rows, top]
         d[live] = all_d[rows, top]
-    return np.where(np.isfinite(d), ids, -1), d
+    return np.where(np.isfinite(d), ids, -1), d, int(seen[:, :n].sum())
 
 
 def robust_prune(x: np.ndarray, p: int, candidates: np.ndarray, degree: int, alpha: float) -> np.ndarray:
@@ -85,7 +86,7 @@ def build(x: np.ndarray, degree: int = DEGREE, width: int = BUILD, alpha: float
     a = 1
     while a < n:
         batch = order[a : a + max(1, min(256, a))]  # batches grow with the graph
-        found, _ = beam_search(x, graph, x[batch], entry, min(width, n))
+        found, _, _ = beam_search(x, graph, x[batch], entry, min(width, n))
         incoming: dict[int, list[int]] = {}
         for p, near in zip(batch.tolist(), found, strict=True):
             kept = robust_prune(x, p, np.r_[near, batch if len(batch) < 16 else batch[:0]], degree, alpha)
@@ -116,14 +117,15 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every` its k nearest others by
     inner product, ties to the smaller id.
 
-    Vectors that are null, zero or hold null or non-finite components take no part, nor do null ids; all
-    others must have one length. Equal vectors are one node; its k + 1 least ids, of which no more can be
-    among k results, stand for it. Rows that repeat an id with one vector count once; an empty table
-    gives an empty result; other columns are left out."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda e: e.cast("double") + 0.0).alias("v")).where(valid("v") & F.col("vec_id").isNotNull()).dropDuplicates(["vec_id", "v"])
+    Vectors that are null, zero or hold null or non-finite components take no part, nor do null ids. Vectors
+    of different lengths never meet: each query gets results of its own length. Of several vectors of one id
+    the least counts. Equal vectors are one node; its k + 1 least ids, of which no more can be among k results,
+    stand for it. An empty table gives an empty result; other columns are left out."""
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda e: e.cast("double") + 0.0).alias("v")).where(valid("v") & F.col("vec_id").isNotNull())
+    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
     place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     least = rows.withColumn("i", place).where(F.col("i") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    nodes = stored(least.withColumn("h", F.xxhash64("v")), "nodes")
+    nodes = stored(least.withColumn("h", F.xxhash64("v")).withColumn("dim", F.size("v")), "nodes")
     shards = max(1, -(-nodes.count() // SHARD))
 
     def grow(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -135,30 +137,41 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
         ids = np.full((len(v), k + 1), -1)
         for i, some in enumerate(part["ids"]):
             ids[i, : len(some)] = some
-        return pd.DataFrame([(int(key[0]), v.shape[1], entry, v.tobytes(), x.tobytes(), graph.astype(np.int32).tobytes(), ids.astype(np.int64).tobytes())], columns=["shard", "dim", "entry", "v", "x", "graph", "ids"])
+        return pd.DataFrame([(int(key[0]), int(key[1]), entry, v.tobytes(), x.tobytes(), graph.astype(np.int32).tobytes(), ids.astype(np.int64).tobytes())], columns=["dim", "shard", "entry", "v", "x", "graph", "ids"])
 
-    schema = "shard int, dim int, entry int, v binary, x binary, graph binary, ids binary"
-    graphs = stored(nodes.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(grow, schema), "graphs")
-    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
+    schema = "dim int, shard int, entry int, v binary, x binary, graph binary, ids binary"
+    graphs = stored(nodes.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")).groupBy("dim", "shard").applyInPandas(grow, schema), "graphs")
+    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).withColumn("dim", F.size("v"))
     blocks = max(1, -(-asked.count() // BLOCK))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
 
     def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(int(key[0]), part["vec_id"].to_numpy(np.int64).tobytes(), np.stack(part["v"]).astype(np.float64).tobytes())], columns=["block", "qids", "q"])
+        return pd.DataFrame([(int(key[0]), int(key[1]), part["vec_id"].to_numpy(np.int64).tobytes(), np.stack(part["v"]).astype(np.float64).tobytes())], columns=["dim", "block", "qids", "q"])
 
-    packed = asked.groupBy("block").applyInPandas(pack, "block int, qids binary, q binary")
-    # Each block meets each shard: blocks of a stated query set against all rows.
-    met = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).repartition("shard", "block").join(graphs, "shard")
+    packed = asked.groupBy("dim", "block").applyInPandas(pack, "dim int, block int, qids binary, q binary")
+    # Each block of the stated query set meets each shard. A shard's graph goes to a few tasks once, ahead of the
+    # blocks of each, which stream past it: a task holds one graph and one block.
+    slots = min(blocks, max(1, -(-vectors.sparkSession.sparkContext.defaultParallelism // shards)))
+    empty = F.lit(None).cast("binary")
+    told = graphs.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))).select("dim", "shard", "slot", F.lit(-1).alias("block"), "entry", "v", "x", "graph", "ids", empty.alias("qids"), empty.alias("q"))
+    posed = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("dim", "shard", F.pmod("block", F.lit(slots)).cast("int").alias("slot"), "block", F.lit(0).alias("entry"), *(empty.alias(c) for c in ("v", "x", "graph", "ids")), "qids", "q")
+    met = told.unionByName(posed).repartition(shards * slots, "dim", "shard", "slot").sortWithinPartitions("dim", "shard", "slot", "block")
 
     def look(parts):
+        held = None
         for part in parts:
             for r in part.itertuples():
-                v, x = np.frombuffer(r.v).reshape(-1, r.dim), np.frombuffer(r.x, np.float32).reshape(-1, r.dim + 1)
-                graph, ids = np.frombuffer(r.graph, np.int32).reshape(len(v), -1), np.frombuffer(r.ids, np.int64).reshape(len(v), -1)
+                if r.block < 0:
+                    v, x = np.frombuffer(r.v).reshape(-1, r.dim), np.frombuffer(r.x, np.float32).reshape(-1, r.dim + 1)
+                    held = (r.dim, r.shard, r.slot), v, x, np.frombuffer(r.graph, np.int32).reshape(len(v), -1), np.frombuffer(r.ids, np.int64).reshape(len(v), -1), r.entry
+                    continue
+                if held is None or held[0] != (r.dim, r.shard, r.slot):
+                    continue  # the shard has no vector of this length
+                _, v, x, graph, ids, entry = held
                 qids, q = np.frombuffer(r.qids, np.int64), np.frombuffer(r.q).reshape(-1, r.dim)
                 for a in range(0, len(q), 256):
                     some, names = q[a : a + 256], qids[a : a + 256]
-                    found, _ = beam_search(x, graph, np.c_[some, np.zeros(len(some))].astype(np.float32), r.entry, min(BEAM, len(x)))
+                    found, _, _ = beam_search(x, graph, np.c_[some, np.zeros(len(some))].astype(np.float32), entry, min(BEAM, len(x)))
                     score = np.where(found >= 0, np.einsum("mrd,md->mr", v[found], some), -np.inf)
                     near = np.where((found >= 0)[:, :, None], ids[found], -1).reshape(len(some), -1)
                     score = np.repeat(score, ids.shape[1], 1)
@@ -169,6 +182,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
                     good = np.isfinite(s)
                     yield pd.DataFrame({"query_id": np.repeat(names, good.sum(1)), "vec_id": n[good], "score": s[good]})
 
-    got = met.select("dim", "entry", "v", "x", "graph", "ids", "qids", "q").mapInPandas(look, "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id"])
+    columns = ["dim", "shard", "slot", "block", "entry", "v", "x", "graph", "ids", "qids", "q"]
+    got = met.select(columns).mapInPandas(look, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return got.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
