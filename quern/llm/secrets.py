@@ -25,6 +25,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 K = len(ALPHABET) + 1
 #: Candidates of the models: strings of the alphabet of at least so many characters.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+#: Matches of a text whose places are summed up at a time.
+RUN = 256
 #: What a candidate must hold: letters beside digits, or a capital after a small letter.
 MIXED = r"[A-Za-z][0-9]|[0-9][A-Za-z]|[a-z][A-Z]"
 
@@ -36,7 +38,13 @@ def spans(text: Column, pattern: str, kind: str, group: int, least: int) -> Colu
     between = F.split(text, pattern, -1)
     whole, part = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     zipped = F.arrays_zip(F.slice(between, 1, F.size(whole)).alias("gap"), whole.alias("hit"), part.alias("part"))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,rank:int,kind:string,end:int,hit:string>>)").alias("out"))
+    kind_of = "array<struct<start:int,rank:int,kind:string,end:int,hit:string>>"
+    none = F.expr(f"cast(array() as {kind_of})")
+    size = lambda x: F.length(x["gap"]) + F.length(x["hit"])
+    # Places are summed up over runs of RUN matches, and within each run, as an array that grows is copied each time.
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(zipped) - 1) / RUN).cast("int")), lambda i: F.slice(zipped, i * RUN + 1, F.lit(RUN)))
+    ends = lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n))
+    starts = F.aggregate(F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda n, x: n + size(x))), F.array(F.lit(0)), ends)
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["gap"])
@@ -44,8 +52,10 @@ def spans(text: Column, pattern: str, kind: str, group: int, least: int) -> Colu
         span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"), x["part"].alias("hit"))
         return F.struct(end.alias("at"), F.when(F.length(x["part"]) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    none = F.expr("cast(array() as array<struct<start:int,rank:int,kind:string,end:int,hit:string>>)")
-    return F.when(seen, F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(none)
+    def placed(r: Column, at: Column) -> Column:
+        return F.when(r.isNotNull(), F.aggregate(r, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"])).otherwise(none)
+
+    return F.when(seen & (F.size(zipped) > 0), F.flatten(F.zip_with(runs, starts, placed))).otherwise(none)
 
 
 def pair_codes(text: Column) -> Column:
