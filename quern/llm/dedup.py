@@ -30,7 +30,18 @@ def exact_groups(docs: DataFrame, salts: int = 16, id_col: str = "doc_id", text_
 
 
 def exact_dedup(docs: DataFrame, salts: int = 16) -> DataFrame:
-    """The rows of docs, in all their columns, whose text has no equal with a larger doc_id."""
-    kept = exact_groups(docs, salts).where("kept").select(F.col("doc_id").alias("id__"), F.col("text_sha256").alias("sha__")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("id__")) & (F.sha2(F.coalesce("text", F.lit("")), 256) == F.col("sha__"))
-    return docs.join(kept, same, "left_semi").select(*docs.columns)
+    """The rows of docs, in all their columns, one for each text: that with the largest doc_id.
+
+    Null and empty texts are equal. A row without doc_id stays only where no row with one has its text; of
+    rows that repeat a doc_id and its text one stays; an empty table stays empty; columns of any name stay.
+    The row travels with its text through the same stages as in exact_groups, so that no join follows."""
+    others = [c for c in docs.columns if c != "text"]
+    text = F.coalesce("text", F.lit(""))
+    row = F.struct(F.col("text").isNull().alias("none"), F.struct(*others).alias("row"))
+    # Of equal ids the greater hash wins, so that a lost task gives the same row again.
+    order = F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64(*others).alias("h"))
+    keyed = docs.select(F.sha2(text, 256).alias("sha"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"), text.alias("said"), order.alias("order"), row.alias("kept"))
+    salted = keyed.groupBy("sha", "salt", "said").agg(F.max(F.struct("order", "kept")).alias("best"))
+    whole = salted.groupBy("sha", "said").agg(F.max("best").alias("best"))
+    said = F.when(F.col("best.kept.none"), F.lit(None)).otherwise(F.col("said"))
+    return whole.select(*(said.alias(c) if c == "text" else F.col("best.kept.row").getField(c).alias(c) for c in docs.columns))
