@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.shared import WordHashes, stored, texts, words_of
+from quern.llm.shared import WordHashes, stored, texts, unused, words_of
 
 #: Domains by (quality, toxic) of the labelled table.
 DOMAINS = ("clean", "toxic", "low")
@@ -175,7 +175,11 @@ def mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None
 
 
 def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """The rows of docs, in all their columns, each as often as mixture() says; rows without doc_id stay."""
-    copies = mixture(docs, labels, weights).groupBy("doc_id").agg(F.max("copies").alias("n__"))
+    """The rows of docs, in all their columns, each as often as mixture() says; rows without doc_id stay.
+
+    Rows that repeat a doc_id with several texts follow the largest number of copies among them; an empty
+    table stays empty; columns of any name stay."""
+    n, i = (unused(docs, x) for x in ("copies", "copy"))
+    copies = mixture(docs, labels, weights).groupBy("doc_id").agg(F.max("copies").alias(n))
     out = docs.join(copies, "doc_id", "left")
-    return out.withColumn("i__", F.explode(F.array_repeat(F.lit(1), F.coalesce("n__", F.lit(1))))).select(*docs.columns)
+    return out.withColumn(i, F.explode(F.array_repeat(F.lit(1), F.coalesce(n, F.lit(1))))).select(*docs.columns)

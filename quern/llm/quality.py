@@ -137,6 +137,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1200, windows: int
 
     found = some.select("y", "text").mapInArrow(pool, "y int, v array<float>").toPandas()
     v, y = np.stack(found["v"]).astype(float), found["y"].to_numpy(float)
+    order = np.lexsort(np.c_[y, v].T)  # however the rows are dealt, the sums below are the same
+    v, y = v[order], y[order]
     share = {k: counts[k] / max(1, (y == k).sum()) for k in (0, 1)}
     weight = np.where(y == 1, share[1], share[0])
     w = logistic(v, y, weight * len(y) / weight.sum())
@@ -148,7 +150,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, p
 
     Only the text is an input of a score. Null and empty texts are scored as a text of no bytes; a null
     doc_id is not held out unless the crc32 of nothing is; repeated rows are scored each; an empty
-    table gives an empty result; labels that are null or neither 0 nor 1 are not learnt from."""
+    table gives an empty result; labels that are null or neither 0 nor 1 are not learnt from. Whole texts are
+    scored, however long; only the filters are learnt from four windows of a labelled text. Of labelled ids with
+    the same hash any may be taken."""
     rows = texts(docs)
     net = fit(rows, labels, per_class)
 
@@ -162,7 +166,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, p
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs, in all their columns, that the classifier does not reject."""
+    """The rows of docs, in all their columns, that the classifier does not reject. Null and empty texts are
+    scored as a text of no bytes, repeated rows share their fate, an empty table stays empty; columns of any name stay."""
     net, columns, schema = fit(texts(docs), labels), docs.columns, docs.schema
 
     def run(batches):
