@@ -45,7 +45,7 @@ SMALL = 64
 #: Vertices whose texts are picked by a broadcast of their ids (24 bytes each); more are picked by a shuffled join.
 FEW = 1 << 20
 NULL_ID = -(1 << 63)
-ROWS = 8192
+ROWS = 5000
 
 
 def shingle_sets(values: list[str], width: int = 5) -> list[np.ndarray]:
@@ -124,14 +124,23 @@ def frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles, sorted, and their counts, from all batches in which they are common."""
 
     def run(batches):
-        for batch in batches:
-            sets = shingle_sets(list(set(batch.column("text").to_pylist())), width)  # copies say nothing
-            keys, n = np.unique(np.concatenate(sets or [np.zeros(0, np.uint64)]), return_counts=True)
-            keys, n = keys[n >= OFTEN], n[n >= OFTEN]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["k", "n"])
-
-    top = docs.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "k").limit(FREQUENT)
-    got = top.toPandas()
+        for whole in batches:
+            for a in range(0, whole.num_rows, ROWS):
+                sets = shingle_sets(list(set(whole.column("text").slice(a, ROWS).to_pylist())), width)  # copies say nothing
+                keys, n = np.unique(np.concatenate(sets or [np.zeros(0, np.uint64)]), return_counts=True)
+                keys, n = keys[n >= OFTEN], n[n >= OFTEN]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["k", "n"])
+
+    counts = stored(docs.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")), "counts")
+    # From how many on the shingles are no more than FREQUENT; so only these go to the driver.
+    often, least, total = F.least("n", F.lit(1 << 16)), 1 << 16, 0
+    for r in counts.groupBy(often.alias("n")).count().orderBy(F.desc("n")).collect():  # 65,536 rows at most
+        total += r["count"]
+        if total > FREQUENT:
+            break
+        least = r["n"]
+    got = counts.where(F.col("n") >= least).limit(FREQUENT).toPandas()
+    release(docs.sparkSession, counts)
     keys = got["k"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     return keys[order], got["n"].to_numpy(np.int64)[order]
@@ -436,13 +445,25 @@ def active(work: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return work.join(hit, ["g", "cell", "x"], "left_semi")
 
 
+def near_pivots(rows: pd.DataFrame, percent: int) -> tuple[list, list, np.ndarray, np.ndarray]:
+    """Members and pivots of a block (q marks the pivots), and for each pair the lower bound and whether it may link."""
+    members, some = rows[~rows["q"]], rows[rows["q"]]
+    d, may = np.ones((len(members), len(some))), np.zeros((len(members), len(some)), bool)
+    for i, (x, k, n) in enumerate(zip(members["x"], members["k"], members["n"], strict=True)):
+        for j, (q, l, m) in enumerate(zip(some["x"], some["k"], some["n"], strict=True)):
+            if x != q:
+                d[i, j], may[i, j] = may_link(k, l, n, m, percent)
+    return members["x"].tolist(), some["x"].tolist(), d, may
+
+
 def redealt(work: DataFrame, sketches: DataFrame, sets, percent: int) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
     """Rounds of further pivots for the regions with a large rest: (work, links, tables to release).
 
-    About PIVOTS members of each large rest become pivots, by a hash of the round. Members that a pivot
-    links with are its ball and leave the rest. The window of the ball, all members of the region that are
-    within twice the join's distance of the pivot without being in its ball, meets the ball in a cell of
-    its own, so nothing that leaves misses a partner. A round that makes no rest smaller by a tenth ends this."""
+    About PIVOTS members of each large rest become pivots, by a hash of the round. Each member tries its nearest
+    pivot alone: if they link, it is in that pivot's ball and leaves the rest. Pivots that link share one cell,
+    whose core is all their balls; its window are the other members within twice the join's distance of one of
+    its pivots, so nothing that leaves misses a partner, and members that are connected already never meet. A
+    round that makes no rest smaller by a tenth ends this."""
     eps, links, cells, old = 1 - percent / 100, None, None, []
     for turn in range(16):
         sizes = work.groupBy("g").agg(F.count_if(~F.col("core")).alias("r")).where(F.col("r") > WIDE)
@@ -450,34 +471,55 @@ def redealt(work: DataFrame, sketches: DataFrame, sets, percent: int) -> tuple[D
         if not before:
             break
         chance = F.pmod(F.xxhash64("x", F.lit(turn + 11)), F.lit(1 << 30)) / float(1 << 30)
-        several = stored(work.join(sizes, "g").join(sketches.select(F.col("v").alias("x"), "k", "n"), "x").select("g", "x", "core", "k", "n", "r", F.lit(0).alias("z")), "large")
-        chosen = several.where(~F.col("core") & (chance * F.col("r") < PIVOTS))
         blocks = F.ceil(F.col("r") / WIDE).cast("int")
+        chosen = ~F.col("core") & (chance * F.col("r") < PIVOTS)
+        several = stored(work.join(sizes, "g").join(sketches.select(F.col("v").alias("x"), "k", "n"), "x").select("g", "x", "core", "k", "n", blocks.alias("blocks"), chosen.alias("pivot")), "large")
         # Blocks of members in proportion to the rest; every block of a region gets the region's pivots.
-        dealt_out = several.withColumn("z", F.pmod(F.xxhash64("x"), blocks).cast("int")).withColumn("q", F.lit(False))
-        told = chosen.withColumn("z", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("q", F.lit(True))
+        dealt_out = several.select("g", "x", "k", "n", "pivot", F.pmod(F.xxhash64("x"), "blocks").cast("int").alias("z"), F.lit(False).alias("q"))
+        told = several.where("pivot").select("g", "x", "k", "n", "pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("z"), F.lit(True).alias("q"))
+        both = dealt_out.unionByName(told)
+
+        def tries(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            names, some, d, may = near_pivots(rows, percent)
+            pivot, out = set(some), []
+            for i, x in enumerate(names):
+                mine = np.flatnonzero(may[i])
+                if len(mine):
+                    out += [(key[0], x, some[j]) for j in (mine if x in pivot else mine[[d[i, mine].argmin()]])]
+            return pd.DataFrame(out, columns=["g", "x", "q"])
+
+        tried = stored(both.groupBy("g", "z").applyInPandas(tries, "g binary, x binary, q binary"), "tried")
+        exact = verified(tried.select("x", F.col("q").alias("p")).distinct(), sets(tried.select(F.explode(F.array("x", "q")).alias("v"))), percent).where("near")
+        near = stored(tried.join(exact.select("x", F.col("p").alias("q")), ["x", "q"]), "balls")
+        new = near.select(F.col("x").alias("a"), F.col("q").alias("b"))
+        links = new if links is None else links.unionByName(new)
 
-        def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        def named(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            """For each pivot of a region the least one that it is connected with."""
+            own = set(rows.loc[rows["a"] == rows["b"], "a"])
+            top = dict((v, u) for u, v in forest([(a, b) for a, b in zip(rows["a"], rows["b"], strict=True) if a != b and a in own and b in own]))
+            return pd.DataFrame([(key[0], v, top.get(v, v)) for v in sorted(own)], columns=["g", "q", "label"])
+
+        pivots_ = several.where("pivot").select("g", F.col("x").alias("q"))
+        pairs = near.join(pivots_.select("g", F.col("q").alias("x")), ["g", "x"], "left_semi").select("g", F.col("x").alias("a"), F.col("q").alias("b"))
+        labels = stored(pairs.unionByName(pivots_.select("g", F.col("q").alias("a"), F.col("q").alias("b"))).groupBy("g").applyInPandas(named, "g binary, q binary, label binary"), "pivots")
+        own = near.join(labels, ["g", "q"]).select("g", "x", "label").unionByName(labels.select("g", F.col("q").alias("x"), "label")).groupBy("g", "x").agg(F.min("label").alias("label"))
+
+        def placed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            names, some, d, _ = near_pivots(rows, percent)
+            mine = dict(zip(rows.loc[~rows["q"], "x"], rows.loc[~rows["q"], "label"], strict=True))
+            label = dict(zip(rows.loc[rows["q"], "x"], rows.loc[rows["q"], "label"], strict=True))
             out = []
-            members, some = rows[~rows["q"]], rows[rows["q"]]
-            for x, k, n in zip(members["x"], members["k"], members["n"], strict=True):
-                for q, l, m in zip(some["x"], some["k"], some["n"], strict=True):
-                    if x != q:
-                        d, may = may_link(k, l, n, m, percent)
-                        if d <= 2 * eps + 1e-9:
-                            out.append((key[0], x, q, d, may))
-            return pd.DataFrame(out, columns=["g", "x", "q", "d", "may"])
-
-        met = stored(dealt_out.unionByName(told).groupBy("g", "z").applyInPandas(run, "g binary, x binary, q binary, d double, may boolean"), "met")
-        near = stored(verified(met.where("may").select("x", F.col("q").alias("p")).distinct(), sets(met.where("may").select(F.explode(F.array("x", "q")).alias("v"))), percent).where("near"), "balls")
-        new = near.select(F.col("x").alias("a"), F.col("p").alias("b"))
-        links = new if links is None else links.unionByName(new)
-        ball = near.select("x", F.col("p").alias("q"), F.lit(True).alias("core"))
-        around = met.select("x", "q").distinct().join(ball, ["x", "q"], "left").select(F.col("q").alias("g"), "x", F.coalesce("core", F.lit(False)).alias("core"), F.lit(True).alias("cell"))
+            for i, x in enumerate(names):
+                near_by = {label[some[j]] for j in np.flatnonzero(d[i] <= 2 * eps + 1e-9)}
+                out += [(v, x, v == mine[x]) for v in near_by | ({mine[x]} if mine[x] is not None else set())]
+            return pd.DataFrame(out, columns=["g", "x", "core"])
+
+        around = both.join(own, ["g", "x"], "left").groupBy("g", "z").applyInPandas(placed, "g binary, x binary, core boolean").groupBy("g", "x").agg(F.max("core").alias("core")).withColumn("cell", F.lit(True))
+        around = stored(around, "cells")
         cells = around if cells is None else cells.unionByName(around)
-        gone = met.select("g", "x", "q").join(ball, ["x", "q"]).select("g", "x").unionByName(chosen.select("g", "x")).distinct()
-        work = stored(work.join(gone.withColumn("left", F.lit(True)), ["g", "x"], "left").where("core or left is null").select("g", "x", "core", "cell"), "work")
-        old += [several, met, near, work]
+        work = stored(work.join(own.withColumn("left", F.lit(True)).select("g", "x", "left"), ["g", "x"], "left").where("core or left is null").select("g", "x", "core", "cell"), "work")
+        old += [several, tried, near, labels, around, work]
         after = work.groupBy("g").agg(F.count_if(~F.col("core")).alias("r")).join(sizes.select("g"), "g", "left_semi").agg(F.sum("r")).first()[0] or 0
         if after > 0.9 * before:
             break
@@ -566,7 +608,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, id_col:
 
 
 def one_of_each(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
-    """The rows of docs, in all their columns, whose doc_id is its component's; rows without one stay."""
-    found = near_duplicates(docs, percent, width)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """The rows of docs, in all their columns, whose doc_id is its component's; rows without one stay.
+
+    Null and empty texts all stay, as they link with nothing; of rows that repeat a doc_id with several texts
+    all stay if one does; an empty table stays empty; columns of any name stay."""
+    found = stored(near_duplicates(docs, percent, width).where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays")), "found")
+    gone = found.where("not stays").select("doc_id")
+    gone = F.broadcast(gone) if gone.count() <= FEW else gone
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
