@@ -57,9 +57,9 @@ def cloud(seed: int, families: int, members: int, words: int = 60) -> list[tuple
 @pytest.mark.parametrize("small", [False, True])
 def test_equals_brute_force(spark, monkeypatch, small):
     if small:  # regions are dealt anew by further pivots, in blocks
-        for name, value in (("WIDE", 8), ("LEAF", 4), ("PIVOTS", 3), ("SMALL", 4), ("FEW", 0)):
+        for name, value in (("WIDE", 8), ("LEAF", 4), ("PIVOTS", 6), ("SMALL", 4), ("FEW", 0)):
             monkeypatch.setattr(jaccard, name, value)
-    rows = cloud(3, 6, 40)
+    rows = cloud(3, 4, 16)
     rows += [(1000, None), (1001, ""), (1002, " \t "), (1003, "One two"), (1004, "one TWO"), (None, rows[0][1]), (None, "a b c d e f g"), (5, "a b c d e f g"), (5, "x"), (7, "y " * 5000)]
     found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
     want = sorted(((d, *brute(rows)[i]) for i, (d, _) in enumerate(rows)), key=str)
