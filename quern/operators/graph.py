@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.plans.storage import cut
+from quern.plans.storage import cut, drop
 
 
 @dataclass(frozen=True)
@@ -67,29 +67,51 @@ def adjacency(edges: DataFrame, nodes: DataFrame, step: Step) -> DataFrame:
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= step.cap).drop("rank")
 
 
+#: Nodes of a frontier up to which it is broadcast (its size is known before), and levels after which the
+#: nodes seen are written anew as one table.
+NARROW, LEVELS = 20_000, 8
+
+
 def closure(links: DataFrame, seeds: DataFrame, limit: int = 10_000) -> DataFrame:
     """Nodes reached from the seeds (node_id) over links (node, nbr), seeds included.
 
-    Each level joins the frontier alone and is checkpointed; `limit` levels raise an error."""
+    Links are written once; each level joins the frontier alone, and its new nodes are written. A narrow
+    frontier is broadcast, so that such a level shuffles no links; a wide one is joined by shuffles. `limit`
+    levels raise an error."""
     links = cut(links.select("node", "nbr").distinct())
-    seen = frontier = cut(seeds.select("node_id").distinct())
-    for _ in range(limit):
-        near = frontier.join(links, frontier.node_id == links.node).select(F.col("nbr").alias("node_id")).distinct()
+    frontier = cut(seeds.select("node_id").distinct())
+    seen, n, old = frontier, frontier.count(), []
+    for level in range(limit):
+        edge = F.broadcast(frontier) if n <= NARROW else frontier
+        near = links.join(edge, links.node == edge.node_id).select(F.col("nbr").alias("node_id")).distinct()
         frontier = cut(near.join(seen, "node_id", "left_anti"))
-        if frontier.isEmpty():
+        n = frontier.count()
+        old.append(frontier)
+        if not n:
+            drop(links)
             return seen
         seen = seen.unionByName(frontier)
+        if level % LEVELS == LEVELS - 1:
+            seen = cut(seen)
+            drop(*old[:-1])
+            old = [seen, frontier]
     raise RuntimeError("the closure did not end")
 
 
 def compile_slice(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, policy: Policy) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a slice. Each step closes over all that was seen before it."""
-    seen, found = seeds.select("node_id").distinct(), None
+    """(nodes, edges) of a slice. Each step closes over all that was seen before it; the edges are
+    written once, and a step whose kinds don't occur is passed over."""
+    columns = edges.columns
+    edges = cut(edges)
+    there = {r[0] for r in edges.select("kind").distinct().limit(1000).collect()}  # kinds are few
+    seen, found = seeds.select("node_id").distinct(), edges.limit(0)
     for step in policy.steps:
+        if not there & set(step.kinds):
+            continue
         links = cut(adjacency(edges, nodes, step))
         seen = closure(links, seen)
-        mine = links.join(seen.withColumnRenamed("node_id", "node"), "node", "left_semi").select(*edges.columns)
-        found = mine if found is None else found.unionByName(mine)
+        mine = links.join(seen.withColumnRenamed("node_id", "node"), "node", "left_semi").select(*columns)
+        found = found.unionByName(mine)
     return nodes.join(seen, "node_id", "left_semi"), found.dropDuplicates(["source_id", "target_id", "kind"])
 
 

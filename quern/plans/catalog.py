@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.functions import extract
 from quern.functions import text as X
-from quern.operators import facts, gold, graph, references, render
+from quern.operators import facts, gold, graph, references, render, resolve
 from quern.operators import search as S
+from quern.plans.registry import ORACLES, QUERIES, query
 from quern.sources import runtime
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
 NODES_SQL = "nodes AS (" + " UNION ALL ".join(f"SELECT '{k}:' || {c} AS node_id, '{k}' AS kind, {n} AS name FROM {t}" for k, t, c, n in facts.NODES) + ")"
 EDGES_SQL = """edges AS (
 SELECT 'nation:' || n_nationkey AS source_id, 'region:' || n_regionkey AS target_id, 'CONTAINS' AS kind, 4 AS verification FROM nation
@@ -28,16 +23,6 @@ TIER_SQL = "CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'signup'
 IMPORTS_SQL = "imports AS (SELECT 'part:' || p_partkey AS importer, 'part:' || (p_partkey // 2) AS imported FROM part WHERE p_partkey >= 2)"
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 def step_sql(name: str, step: graph.Step, seed: str) -> str:
     """Capped links of a step and their closure from the seeds, as two CTEs."""
     kinds = ", ".join(f"'{k}'" for k in step.kinds)
@@ -194,15 +179,12 @@ refs AS (SELECT DISTINCT p_brand AS file, l_partkey AS line FROM lineitem JOIN p
 SELECT r.file, r.line, max(d.start) AS start FROM refs r LEFT JOIN defs d ON d.file = r.file AND r.line BETWEEN d.start AND d.stop GROUP BY r.file, r.line"""
 )
 def enclosing_interval(spark, d):
-    """The innermost interval around each line. Intervals are dealt to blocks of lines, so that the
-    join is by equal keys and a block holds few of them."""
+    """The innermost interval around each line."""
     part = facts.table(spark, d, "part")
-    block = 64
-    defs = part.select(F.col("p_brand").alias("file"), F.col("p_partkey").alias("start"), (F.col("p_partkey") + F.col("p_size")).alias("stop")).withColumn("block", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"stop div {block}"))))
+    defs = part.select(F.col("p_brand").alias("file"), F.col("p_partkey").alias("start_line"), (F.col("p_partkey") + F.col("p_size")).alias("end_line"), F.col("p_partkey").cast("string").alias("id"))
     lines = facts.table(spark, d, "lineitem").select("l_partkey").distinct()
-    refs = lines.join(part, lines.l_partkey == part.p_partkey).select(F.col("p_brand").alias("file"), F.col("l_partkey").alias("line")).withColumn("block", F.expr(f"line div {block}"))
-    found = refs.join(defs, ["file", "block"], "left")
-    return found.groupBy("file", "line").agg(F.max(F.when(F.col("line").between(F.col("start"), F.col("stop")), F.col("start"))).alias("start"))
+    refs = lines.join(part, lines.l_partkey == part.p_partkey).select(F.col("p_brand").alias("file"), F.col("l_partkey").alias("line"))
+    return resolve.enclosing(refs, defs).select("file", "line", F.expr("try_cast(id as bigint)").alias("start"))
 
 
 @query("WITH " + IMPORTS_SQL + " SELECT importer AS node_id FROM imports WHERE imported = 'part:7'")
@@ -286,7 +268,13 @@ def cache_validity(spark, d):
     return cache.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).join(there, "k", "left").select("k", gate.alias("valid"))  # nations are few
 
 
-@query("SELECT doc_id, " + "regexp_replace(" * len(X.SECRETS) + "text" + "".join(f", '{p.replace(chr(39), chr(39) * 2)}', '{r.replace('$1', chr(92) + '1')}', 'g')" for p, r in X.SECRETS) + " AS clean FROM documents")
+SECRET_SQL = r"(?i)((?:api[_-]?key|apikey|secret|password|token|credential|authtoken|accesstoken|refreshtoken)s?\s*[:=])\s*"
+
+
+@query(
+    f"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{SECRET_SQL}[''"][^''"]+[''"]', '\\1 [REDACTED]', 'g'), '{SECRET_SQL}[^\\s''"]+', '\\1 [REDACTED]', 'g'),
+'-----BEGIN\\s+(RSA|EC|DSA|OPENSSH)\\s+PRIVATE\\s+KEY-----', '[REDACTED]', 'g'), '(ghp_|gho_|github_pat_)[a-zA-Z0-9]{{36,}}', '[REDACTED]', 'g'), 'sk-[a-zA-Z0-9]{{20,}}', '[REDACTED]', 'g'), 'AKIA[A-Z0-9]{{16}}', '[REDACTED]', 'g') AS clean FROM documents"""
+)
 def redact_secrets(spark, d):
     return facts.table(spark, d, "documents").select("doc_id", X.redact(F.col("text")).alias("clean"))
 
@@ -302,11 +290,14 @@ def exclusion_rules(spark, d):
 
 
 @query(
-    r"""WITH p AS (SELECT doc_id, trim(regexp_replace(regexp_split_to_array(text, '\n[ \t]*\n')[1], '[ \t\r\n]+', ' ', 'g')) AS s FROM documents)
-SELECT doc_id, CASE WHEN length(s) < 3 THEN NULL WHEN length(s) > 200 THEN regexp_replace(substring(s, 1, 200), ' [^ ]*$', '') || '…' ELSE s END AS doc FROM p"""
+    r"""WITH p AS (SELECT doc_id, trim(regexp_replace(regexp_split_to_array(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\n\s*\n')[1], '\s+', ' ', 'g')) AS s FROM documents WHERE NOT regexp_matches(text, '(?m)^\s*[*/#;@:"''-]|["'']{3}'))
+SELECT doc_id, CASE WHEN length(s) < 3 OR regexp_matches(lower(s), '^(copyright|license\b|all rights reserved|generated by|do not edit|coverage|biome)') THEN NULL WHEN length(s) > 200 THEN trim(regexp_replace(substring(s, 1, 200), '\s+\S*$', '')) || '…' ELSE s END AS doc FROM p"""
 )
 def normalize_doc(spark, d):
-    return facts.table(spark, d, "documents").select("doc_id", X.normalize_doc(F.col("text")).alias("doc"))
+    """I5 on the texts without marks of comments, each put into a comment with a tag section; marks are tested on cases."""
+    docs = facts.table(spark, d, "documents").where(~F.col("text").rlike(r"""(?m)^\s*[*/#;@:"'-]|["']{3}"""))
+    starred = F.regexp_replace(F.trim(F.regexp_replace("text", r"^\s+|\s+$", "")), "\n", "\n * ")
+    return docs.select("doc_id", X.normalize_doc(F.concat(F.lit("/** "), starred, F.lit("\n * @param x of it\n */"))).alias("doc"))
 
 
 @query("SELECT page_id, " + "regexp_replace(" * len(X.STRIPPED) + "html" + "".join(f", '{p.replace(chr(39), chr(39) * 2)}', ' ', 'g')" for p in X.STRIPPED) + " AS bare FROM pages")
@@ -419,34 +410,3 @@ def coverage_lines(spark, d):
     record = F.concat(F.lit("TN:\nSF:order"), "l_orderkey", F.lit("\n"), F.array_join(F.collect_list(line), "\n"), F.lit("\nend_of_record\n"))
     files = facts.table(spark, d, "lineitem").groupBy("l_orderkey").agg(record.alias("content"))
     return runtime.lcov(files).select("source_id", "target_id", "kind", "verification", F.element_at("metadata", "hits").alias("hits"))
-
-
-#: Source files that the tables don't have: path and content.
-SOURCES = [
-    ("a.py", "import os\nfrom x.y import z\nclass A:\n    def f(self): pass\n"),
-    ("lib.rs", "use std::io;\npub struct S;\nimpl S {\n    pub fn go() {}\n}\n"),
-    ("m.go", 'import (\n\t"fmt"\n)\ntype T struct {}\nfunc (t T) Run() {}\n'),
-    ("r.ts", "import { h } from './h';\nexport function start() {}\napp.get('/api/u', h); app.use('/api');\nbus.emit('made', 1); bus.on('made', h); fetch('/x'); process.env.KEY; db.select(); pgTable('t', {})\n"),
-]
-
-
-@query(
-    """SELECT * FROM (VALUES
-('file:a.py', 'module:os', 'IMPORTS', 0), ('file:a.py', 'module:x.y', 'IMPORTS', 0), ('file:a.py', 'class:a.py:A', 'CONTAINS', 2), ('file:a.py', 'function:a.py:f', 'CONTAINS', 2),
-('file:lib.rs', 'module:std::io', 'IMPORTS', 0), ('file:lib.rs', 'class:lib.rs:S', 'CONTAINS', 2), ('file:lib.rs', 'method:lib.rs:impl S', 'CONTAINS', 2), ('file:lib.rs', 'function:lib.rs:go', 'CONTAINS', 2),
-('file:m.go', 'module:fmt', 'IMPORTS', 0), ('file:m.go', 'class:m.go:T', 'CONTAINS', 2), ('file:m.go', 'function:m.go:Run', 'CONTAINS', 2), ('file:m.go', 'method:m.go:Run', 'CONTAINS', 2),
-('file:r.ts', 'module:./h', 'IMPORTS', 2), ('file:r.ts', 'function:r.ts:start', 'CONTAINS', 2), ('file:r.ts', 'export:r.ts:start', 'EXPORTS', 2)) t(source_id, target_id, kind, verification)"""
-)
-def source_facts(spark, d):
-    """L1-L5 by rules, over files that stand for a source tree."""
-    return extract.facts(spark.createDataFrame(SOURCES, "path string, content string"), extract.LANGUAGES).select("source_id", "target_id", "kind", "verification")
-
-
-@query(
-    """SELECT * FROM (VALUES
-('file:r.ts', 'route:GET /api/u', 'EXPOSES_ROUTE', 3), ('file:r.ts', 'route:USE /api', 'EXPOSES_ROUTE', 3), ('file:r.ts', 'event:made', 'EMITS_EVENT', 3), ('file:r.ts', 'event:made', 'CONSUMES_EVENT', 3),
-('file:r.ts', 'route:UNKNOWN /x', 'CONSUMES_ROUTE', 3), ('file:r.ts', 'config_key:KEY', 'REFERENCES', 3), ('file:r.ts', 'db_table:unknown', 'READS_TABLE', 3), ('file:r.ts', 'db_table:t', 'CONTAINS', 3)) t(source_id, target_id, kind, verification)"""
-)
-def contract_facts(spark, d):
-    """L8-L14."""
-    return extract.facts(spark.createDataFrame(SOURCES, "path string, content string"), extract.CONTRACTS).select("source_id", "target_id", "kind", "verification")

@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions.extract import GENERIC
 from quern.functions.text import excluded
 
 #: Extensions by family (fixed values).
 EXTENSIONS = {
     "ts": ("ts", "tsx", "js", "jsx"),
-    "language": ("py", "rs", "go"),
+    "language": ("py", "rs", "go", *(e.lstrip(".") for e in GENERIC)),
     "doc": ("md", "mdx", "markdown", "rst", "adoc", "asciidoc"),
     "spec": ("json", "yaml", "yml", "prisma", "sql", "graphql", "gql", "graphqls"),
 }
+#: A3: paths of specifications: descriptions, models, statements and migrations, types (fixed values).
+SPECS = r"(^|/)(openapi|swagger)[^/]*\.(json|ya?ml)$|(^|/)schema\.prisma$|\.sql$|(^|/)migrations/|\.(graphql|gql|graphqls)$"
 #: Where traces of each kind lie below the root (fixed values).
 TRACES = {"test-trace": r"(^|/)\.test-traces/[^/]*\.json$", "otel-trace": r"(^|/)\.otel-traces/[^/]*\.json$", "coverage-trace": r"(^|/)coverage/lcov\.info$"}
 
 
-def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] | None = None, rules: list[tuple[str, str]] = (), matching: str | None = None) -> DataFrame:
+def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] | None = None, rules: list[tuple[str, ...]] = (), matching: str | None = None) -> DataFrame:
     """A1-A3: path below root and whole content of the files of these extensions, or whose path matches
     the pattern, without those that an exclusion rule skips. Paths are chosen before contents are read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)

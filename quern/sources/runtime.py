@@ -61,3 +61,16 @@ def lcov(files: DataFrame, content: str = "content") -> DataFrame:
 
 
 IMPORTERS = {"test-trace": test_trace, "otel-trace": otel, "coverage-trace": lcov}
+
+
+def nodes(facts: DataFrame) -> DataFrame:
+    """The nodes that edge facts name, one a target or source: its kind from its name, a line's place with it."""
+    ends = facts.select(F.explode(F.array("source_id", "target_id")).alias("node_id")).distinct()
+    head, rest = F.substring_index("node_id", ":", 1), F.regexp_replace("node_id", r"^[^:]*:", "")
+    kind = F.when(head == "otel", "span").otherwise(head)
+    path = F.when(head.isin("test", "function", "line"), F.regexp_replace(rest, r":[^:]*$", "")).when(head == "file", rest).otherwise("")
+    line = F.when(head == "line", F.substring_index("node_id", ":", -1).cast("int")).otherwise(F.lit(0))
+    name = F.when(head == "file", rest).when(head == "otel", rest).otherwise(F.substring_index("node_id", ":", -1))
+    none = F.lit(None).cast("string")
+    sha = lambda c: F.sha2(c, 256)
+    return ends.select("node_id", sha(F.concat(F.lit("repo::ts::"), "node_id")).alias("stable_id"), sha(name).alias("version_hash"), none.alias("previous_stable_id"), kind.alias("kind"), name.alias("name"), F.col("node_id").alias("qualified_name"), path.alias("file_path"), line.alias("start_line"), line.alias("end_line"), none.alias("signature"), none.alias("doc"), F.lit("ts").alias("language"), F.lit(0).cast("long").alias("seq"))

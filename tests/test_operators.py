@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as X
 from quern.operators import facts, graph, render
-from quern.plans.catalog import ORACLES, QUERIES
+from quern.plans import catalog, tree  # noqa: F401  they register their queries
+from quern.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 SLOW = {"closure_impact", "closure_schema_edit", "closure_endpoint_edit", "closure_minimal", "slice_edges", "assign_tiers"}

@@ -60,7 +60,7 @@ def test_openapi_and_docs(spark):
     got = extract.openapi_endpoints(spark.createDataFrame([("o.json", spec), ("p.json", "["), ("q.json", None)], "path string, content string"))
     assert rows(got.select("target_id")) == [("route:DELETE /b",), ("route:GET /a",), ("route:POST /a",)]
     doc = extract.doc_summary(spark.createDataFrame([("r.md", "# Title\n\nIntro  here.\n\n## One\n\ntext\n\n## Two\n")], "path string, content string"))
-    assert rows(doc) == [("r.md", "Title — Intro here.", "Title > One > Two")]
+    assert rows(doc) == [("r.md", "Title — Intro here.", "Title · One · Two")]
 
 
 def test_facts_of_empty_and_null_content(spark):
