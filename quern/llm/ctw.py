@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.shared import _LOWER, fold, grouped, parts_of, release, stored, texts, word_hashes
+from quern.llm.shared import _LOWER, fold, grouped, parts_of, release, stored, texts, tidy, word_hashes
 
 #: Bytes of context, and bytes of text of a batch.
-DEPTH, BATCH = 6, 16 << 20
+DEPTH, BATCH = 6, 12 << 20
 #: Buckets of words and of runs are told apart by sign.
 ROWS = "batch long, bucket int, keys binary, counts binary"
 HELD = 1
@@ -75,7 +75,7 @@ def counted(raws: list[bytes], train: np.ndarray, sign: int) -> tuple[np.ndarray
         all_keys, n = keyed(raws[a:b], sign)
         found, at = np.unique(all_keys, return_inverse=True)
         keys.append(found)
-        counts.append(np.bincount(at, np.repeat(train[a:b], n), len(found)))
+        counts.append(np.bincount(at, np.repeat(train[a:b], n), len(found)).astype(np.int32))
     found, at = np.unique(np.concatenate(keys), return_inverse=True)
     return found, np.bincount(at, np.concatenate(counts), len(found)).astype(np.int64)
 
@@ -117,6 +117,8 @@ def scanned(docs: DataFrame, buckets: int) -> DataFrame:
                     j += 1
                 rows = list(of(number, ids[i:j], held[i:j], values[i:j]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int32(), pa.binary(), pa.binary()], strict=True)], ["batch", "bucket", "keys", "counts"])
+                rows = None
+                tidy()
                 number, i = number + 1, j
 
     return docs.mapInArrow(run, ROWS)
@@ -236,6 +238,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 context = keys >> np.uint64(8 * (DEPTH - d) + 8) if d else np.zeros(len(keys), np.uint64)
                 p = tree[d].mixed((context << np.uint64(8)) | node[j].astype(np.uint64), bits[j], p)
             total += np.log10(np.where(np.isnan(p), 0.5, p))
+        del tree
+        tidy()
         return pd.DataFrame([(b, k, squeeze(total[np.searchsorted(keys, p)].astype(np.float32))) for b, k, p in zip(part["batch"], part["bucket"], parts, strict=True)], columns=["batch", "bucket", "values"])
 
     def known(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -252,6 +256,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     n_train, distinct = int(told[0] or 0) + ends, int(told[1] or 0) + (ends > 0)
     reply = "batch long, bucket int, values binary"
     answers = stored(runs.groupBy("bucket").applyInPandas(priced, reply).unionByName(words.groupBy("bucket").applyInPandas(known, reply)), "answers")
+    release(rows.sparkSession)
     whole = stored(table.where("bucket = 0"), "texts")
     release(rows.sparkSession, table)  # the keys are done with before answers and texts move to their batches
     # A batch finds its distinct keys again from its texts, in the same order, so no key travels back.
@@ -267,17 +272,22 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
         def sums(sign: int, kind, *measures) -> list[np.ndarray]:
             """For each text the sums of what the measures make of the answers to its keys."""
-            kept = []
-            for a, b in grouped(raws):
-                keys, n = keyed(raws[a:b], sign)
-                found, at = np.unique(keys, return_inverse=True)
-                kept.append((found, at.astype(np.int32), n))
-            found = np.unique(np.concatenate([x[0] for x in kept]))
+            # Keys are made twice, as those of all texts of a batch would not fit beside the answers.
+            found = np.unique(np.concatenate([np.unique(keyed(raws[a:b], sign)[0]) for a, b in grouped(raws)]))
             order, cuts = by_bucket(found, sign, buckets)
             values = np.zeros(len(found), kind)
             for r in part[part["bucket"] * sign > 0].itertuples():
                 values[order[cuts[abs(r.bucket) - 1] : cuts[abs(r.bucket)]]] = stretch(r.a, kind)
-            return [np.concatenate([np.bincount(np.repeat(np.arange(len(n)), n), f(values[np.searchsorted(found, u)])[at], len(n)) for u, at, n in kept]) for f in measures]
+            del order
+            out = [[] for _ in measures]
+            for a, b in grouped(raws):
+                keys, n = keyed(raws[a:b], sign)
+                some, at = np.unique(keys, return_inverse=True)
+                some = values[np.searchsorted(found, some)]
+                for o, f in zip(out, measures, strict=True):
+                    o.append(np.bincount(np.repeat(np.arange(len(n)), n), f(some)[at], len(n)))
+            tidy()
+            return [np.concatenate(o) for o in out]
 
         value = sums(1, np.float32, lambda x: x.astype(np.float64))[0]
         n, hit, base = sums(-1, np.int64, np.ones_like, lambda x: x > 0, lambda x: np.log10((x + 0.5) / bottom))

@@ -51,6 +51,19 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def tidy() -> None:
+    """Gives memory that a worker has freed back to the system, where it can; else the worker keeps it for later."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, whatever its case."""
     taken = {c.lower() for c in df.columns}
