@@ -77,7 +77,8 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.spans import without_repeats
 
-    return without_repeats(table(spark, sf_dir, "documents"))
+    # Stretches of 25 words and more: shorter ones are phrases that clean documents share.
+    return without_repeats(table(spark, sf_dir, "documents"), least=25)
 
 
 @query

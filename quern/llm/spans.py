@@ -118,11 +118,12 @@ def repeats(found: DataFrame) -> DataFrame:
     return near.unionByName(far)
 
 
-def without_repeats(docs: DataFrame, run: int = 3, words: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, run: int = 3, words: int = 10, least: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_sentences, n_removed, removed (start:end byte offsets of the
     removed stretches of the UTF-8 text, comma-joined), clean_text.
 
-    Runs of `run` consecutive sentences with at least `words` words count. Null and empty texts have no
+    Runs of `run` consecutive sentences with at least `words` words count, and stretches of covered sentences
+    with at least `least` words in all are removed: shorter ones are phrases that many texts share. Null and empty texts have no
     sentences and stay empty. Each row is a place of its own, in the order of doc_id, null before all
     others, then as the table is read; so one of equal rows keeps what the others lose. An empty table gives an empty result; other columns are left out."""
     # Stored, as a row must have the same number when it is cut.
@@ -136,13 +137,16 @@ def without_repeats(docs: DataFrame, run: int = 3, words: int = 10, id_col: str
             out = []
             for i, text, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "places")), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
-                starts, _, _ = sentences(data)
+                starts, _, sizes = sentences(data)
                 gone = np.zeros(len(starts) + 1, np.int64)
                 for p in places or ():
                     if p < len(starts):
                         gone[p] += 1
                         gone[min(p + run, len(starts))] -= 1
                 gone = np.cumsum(gone)[:-1] > 0
+                ends = np.flatnonzero(np.diff(np.r_[0, gone.astype(np.int8), 0]))
+                for a, b in zip(ends[::2].tolist(), ends[1::2].tolist(), strict=True):
+                    gone[a:b] = sizes[a:b].sum() >= least
                 bounds = [*starts.tolist(), len(data)]
                 stretches, kept = [], []
                 for k, dead in enumerate(gone.tolist()):
