@@ -214,3 +214,44 @@ def test_pipeline_stages(spark):
     empty = docs.limit(0)
     for n, f in p.STAGES:
         assert f(spark, empty, sf).count() == 0, n
+
+
+@pytest.mark.parametrize("least", [10, 30])
+def test_repeated_spans_equal_a_plain_search(spark, least):
+    from quern.llm.spans import sentences, without_repeats
+
+    draw = random.Random(6)
+    pool = [" ".join(draw.choices("abcdefghijklmnop", k=draw.randint(2, 9))) + ". " for _ in range(14)]
+    rows = []
+    for i in range(60):
+        rows.append((draw.choice([None, i, i // 3]), "".join(draw.choices(pool, k=draw.randint(0, 9)))))
+    rows += [(7, rows[3][1]), (7, rows[3][1]), (None, None)]
+    cut = []
+    for _, text in rows:
+        data = (text or "").encode()
+        starts = [*sentences(data)[0].tolist(), len(data)]
+        cut.append([(a, b, tuple(data[a:b].lower().split())) for a, b in zip(starts, starts[1:], strict=False)])
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, i))
+    seen, gone = set(), [[False] * len(c) for c in cut]
+    for i in order:
+        for k in range(len(cut[i]) - 2):
+            run = tuple(x[2] for x in cut[i][k : k + 3])
+            if sum(map(len, run)) >= 10:
+                if run in seen:
+                    gone[i][k : k + 3] = [True] * 3
+                seen.add(run)
+    want = []
+    for i, (doc_id, text) in enumerate(rows):
+        k = 0
+        while k < len(cut[i]):
+            j = k
+            while j < len(cut[i]) and gone[i][j]:
+                j += 1
+            if j > k and sum(len(x[2]) for x in cut[i][k:j]) < least:
+                gone[i][k:j] = [False] * (j - k)
+            k = max(j, k + 1)
+        data = (text or "").encode()
+        want.append((doc_id, sum(gone[i]), b"".join(data[a:b] for (a, b, _), g in zip(cut[i], gone[i], strict=True) if not g).decode() if cut[i] else (text or "")))
+    got = without_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), least=least).collect()
+    assert sorted(((r.doc_id, r.n_removed, r.clean_text) for r in got), key=str) == sorted(want, key=str)
+    assert any(w[1] for w in want)
