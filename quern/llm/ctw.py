@@ -272,22 +272,22 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
         def sums(sign: int, kind, *measures) -> list[np.ndarray]:
             """For each text the sums of what the measures make of the answers to its keys."""
-            # Keys are made twice, as those of all texts of a batch would not fit beside the answers.
-            found = np.unique(np.concatenate([np.unique(keyed(raws[a:b], sign)[0]) for a, b in grouped(raws)]))
+            kept, names = [], []
+            for a, b in grouped(raws):
+                keys, n = keyed(raws[a:b], sign)
+                own, at = np.unique(keys, return_inverse=True)
+                kept.append((at.astype(np.int32), n))
+                names.append(own)
+            found = np.unique(np.concatenate(names))
+            names = [np.searchsorted(found, own).astype(np.int32) for own in names]
             order, cuts = by_bucket(found, sign, buckets)
             values = np.zeros(len(found), kind)
             for r in part[part["bucket"] * sign > 0].itertuples():
                 values[order[cuts[abs(r.bucket) - 1] : cuts[abs(r.bucket)]]] = stretch(r.a, kind)
-            del order
-            out = [[] for _ in measures]
-            for a, b in grouped(raws):
-                keys, n = keyed(raws[a:b], sign)
-                some, at = np.unique(keys, return_inverse=True)
-                some = values[np.searchsorted(found, some)]
-                for o, f in zip(out, measures, strict=True):
-                    o.append(np.bincount(np.repeat(np.arange(len(n)), n), f(some)[at], len(n)))
+            del order, found
+            out = [np.concatenate([np.bincount(np.repeat(np.arange(len(n)), n), f(values[own])[at], len(n)) for own, (at, n) in zip(names, kept, strict=True)]) for f in measures]
             tidy()
-            return [np.concatenate(o) for o in out]
+            return out
 
         value = sums(1, np.float32, lambda x: x.astype(np.float64))[0]
         n, hit, base = sums(-1, np.int64, np.ones_like, lambda x: x > 0, lambda x: np.log10((x + 0.5) / bottom))
