@@ -88,17 +88,17 @@ DOC_NOISE = (
 )
 
 
-def normalize_doc(text: Column, most: int = 200) -> Column:
+def normalize_doc(text: Column, most: int = 200, noise: str = DOC_NOISE) -> Column:
     """What a comment says: its marks and its tag section go, the first paragraph stays with its
     spaces collapsed, cut at a word boundary with an ellipsis; null if shorter than 3 characters, or if it
-    steers a tool or states a licence."""
+    steers a tool or states a licence (noise). Only a newline ends a line."""
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "\r", ""), r"^\s*/\*\*?", ""), r"\*/\s*$", "")
     each = F.transform(F.split(bare, "\n"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"^\s*\*\s?", ""), r"""^\s*(?:///?|#+|--+|;+|\"{3}|'{3})\s?""", ""), r"""(?:\"{3}|'{3})\s*$""", "")))
-    whole = F.trim(F.regexp_replace(F.array_join(each, "\n"), r"^\s+|\s+$", ""))
+    whole = F.trim(F.regexp_replace(F.array_join(each, "\n"), r"(?d)^\s+|\s+$", ""))
     said = F.regexp_replace(whole, r"(?s)\n\s*(?:@\w+|:\w+:).*$", "")
     first = F.trim(F.regexp_replace(F.element_at(F.split(said, r"\n\s*\n", 2), 1), r"\s+", " "))
-    head = F.trim(F.regexp_replace(F.substring(first, 1, most), r"\s+\S*$", ""))
-    return F.when((F.length(first) < 3) | first.rlike(DOC_NOISE), F.lit(None)).when(F.length(first) > most, F.concat(head, F.lit("…"))).otherwise(first)
+    head = F.trim(F.regexp_replace(F.substring(first, 1, most), r"(?d)\s+\S*$", ""))
+    return F.when((F.length(first) < 3) | first.rlike(noise), F.lit(None)).when(F.length(first) > most, F.concat(head, F.lit("…"))).otherwise(first)
 
 
 def render_tokens(text: Column) -> Column:

@@ -78,3 +78,18 @@ def test_redaction_and_rules(spark):
 def test_upsert_keeps_language_and_previous(spark):
     rows = spark.createDataFrame([("i", "a", "ts", "p", 1), ("i", "b", "go", None, 2)], "id string, name string, language string, previous_stable_id string, seq int")
     assert facts.upserted(rows, "id").first().asDict() == {"id": "i", "name": "b", "language": "ts", "previous_stable_id": "p", "seq": 2}
+
+
+#: Texts that are empty, blank, one character, with odd line ends and spaces, or that open like a tool's comment.
+ODD = ["", " ", "\n\n", "a", "ab ", None, "one\rtwo", "one\r\n\r\ntwo", "one\r-two", "one -two", "one\u0085@two", "one two  ", "x" * 250, "x " * 150, "é" * 199 + " é", "eslint rules here", "SPDX-x is text", "coverage of it", "License: x", "licensed x", "  \n lead\n\n  next", "a\n@b", "type: ignore it", "ts-one", "*/ end", "end */", "a\f b"]
+
+
+def test_normalized_odd_texts_equal_the_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(i, t) for i, t in enumerate(ODD)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = dict(c.execute(ORACLES["normalize_doc"]).fetchall())
+    assert {r[0]: r[1] for r in QUERIES["normalize_doc"](spark, str(tmp_path)).collect()} == want
