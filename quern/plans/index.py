@@ -10,6 +10,7 @@ from quern.functions import text as X
 from quern.operators import containers, graph, references, resolve, search, state
 from quern.operators.document import rendered
 from quern.operators.facts import stable_id, upserted, version_hash
+from quern.plans.storage import cut
 from quern.sources import files as source_files
 from quern.sources import runtime
 
@@ -56,7 +57,7 @@ def index(tables: state.Tables, files: DataFrame, now=None) -> state.Tables:
     tables = state.on_delete(tables, gone)
     tables = state.cleared(tables, fresh)
     some = files.join(fresh.select(F.col("file_path").alias("path")), "path", "left_semi")
-    facts = extract.facts(some, ALL)
+    facts = cut(extract.facts(some, ALL))  # read many times
     packages = files.where(X.basename(F.col("path")) == "package.json")
     edges = resolve.all_edges(facts, files, packages)
     tables = tables | {"nodes": state.put(tables["nodes"], nodes_of(facts, some), "node_id")}

@@ -14,6 +14,7 @@ from quern.functions import extract
 from quern.functions import text as X
 from quern.operators import containers, document, facts, graph, resolve, state
 from quern.plans.registry import query
+from quern.plans.storage import cut
 
 
 def said(pattern: str, **columns: str) -> Column:
@@ -106,7 +107,7 @@ UNION ALL SELECT 'file:' || {S}, 'unresolved::' || {S} || '::' || c, 'UNRESOLVED
 def resolved_edges(spark, d):
     """J14, L1, O: imports, bindings, calls and heritage of the suppliers, settled against the other files."""
     f = files(spark, d)
-    got = extract.facts(f, extract.LANGUAGES)
+    got = cut(extract.facts(f, extract.LANGUAGES))  # read many times
     both = resolve.import_edges(got, f).unionByName(resolve.symbol_edges(got, f))
     return both.where("source_id like '%:web/s%'").select("source_id", "target_id", "kind", "verification")
 

@@ -66,3 +66,11 @@ def test_openapi_and_docs(spark):
 def test_facts_of_empty_and_null_content(spark):
     got = extract.facts(spark.createDataFrame([("a.ts", ""), ("b.py", None), (None, "class A")], "path string, content string"), extract.LANGUAGES + extract.CONTRACTS)
     assert got.count() == 0
+
+
+def test_files_are_dealt_out_and_read_once(spark):
+    from quern.plans.registry import QUERIES
+
+    one = spark.createDataFrame([("a.py", "class A:\n  pass\n")], "path string, content string").coalesce(1)
+    assert extract.facts(one)._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+    assert "MapInArrow" not in QUERIES["resolved_edges"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
