@@ -93,3 +93,46 @@ def test_normalized_odd_texts_equal_the_sql(spark, tmp_path):
     c.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     want = dict(c.execute(ORACLES["normalize_doc"]).fetchall())
     assert {r[0]: r[1] for r in QUERIES["normalize_doc"](spark, str(tmp_path)).collect()} == want
+
+
+def test_codes_sort_as_their_texts(spark):
+    keys = [0, 1, 2, 9, 10, 11, 19, 100, 101, 999, 1000, 123456789, 10**15, 10**16 - 1]
+    rows = spark.createDataFrame([(k,) for k in keys], "k long")
+    every = [rows.select(facts.coded(kind, "k").alias("c"), facts.key(kind, "k").alias("t")) for kind in facts.KINDS]
+    got = [r for x in every for r in x.select("c", "t", facts.decoded(F.col("c")).alias("back")).collect()]
+    assert all(r["back"] == r["t"] for r in got)
+    assert [r["t"] for r in sorted(got, key=lambda r: r["c"])] == sorted(r["t"] for r in got)
+
+
+@pytest.mark.parametrize("narrow", [20_000, 3])
+def test_reached_shuffles_no_links_for_few_nodes_and_finds_the_same(spark, narrow, monkeypatch):
+    monkeypatch.setattr(graph, "NARROW", narrow)
+    monkeypatch.setattr(graph, "LEVELS", 2)
+    rng = random.Random(5)
+    rows = {(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}", rng.choice(["CALLS", "IMPORTS"])) for _ in range(120)}
+    rows = [(*r, rng.randrange(5)) for r in sorted(rows)]
+    edges = spark.createDataFrame(rows, "source_id string, target_id string, kind string, verification int")
+    nodes = spark.createDataFrame([(f"n{i}", "_x" if i % 9 == 0 else "x") for i in range(60)], "node_id string, name string")
+    step = graph.Step(("CALLS", "IMPORTS"), "both", 3, ("^_",))
+    near = {}
+    for s, t, k, v in rows:
+        for node, nbr, way in ((s, t, 0), (t, s, 1)):
+            if int(node[1:]) % 9:
+                near.setdefault(node, []).append((-v, way, k, nbr, (s, t, k, v)))
+    links = {n: sorted(x)[:3] for n, x in near.items()}
+    seen, queue = {"n1"}, ["n1"]
+    while queue:
+        for x in links.get(queue.pop(), []):
+            if x[3] not in seen:
+                seen.add(x[3])
+                queue.append(x[3])
+    got, taken = graph.reached(edges, nodes, spark.createDataFrame([("n1",)], "node_id string"), step)
+    assert {r[0] for r in got.collect()} == seen
+    assert sorted(tuple(r) for r in taken.collect()) == sorted(x[4] for n in seen for x in links.get(n, []))
+
+
+def test_few_nodes_look_up_their_links_before_anything_is_shuffled(spark):
+    ids = facts.coded
+    one = spark.createDataFrame([(1,)], "k long").select(ids("order", "k").alias("node_id"))
+    plan = graph.adjacency(facts.edges(spark, SF, ids), facts.nodes(spark, SF, ids), graph.Step(("CALLS",), "forward", 5), one)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.rindex("LeftSemi")  # the join lies below the distinct
